@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidewatch.llm.byte_bpe import op2_byte_bpe
 from tidewatch.llm.token_files import op1_token_planes
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
+    "op2_byte_bpe": op2_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
