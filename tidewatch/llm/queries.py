@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tidewatch.llm.byte_bpe import op2_byte_bpe
+from tidewatch.llm.simhash import op9_simhash
 from tidewatch.llm.token_files import op1_token_planes
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_byte_bpe": op2_byte_bpe,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {}
