@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from tidewatch.llm.byte_bpe import op2_byte_bpe
+from tidewatch.llm.mixing import OP10_SQL, op10_mixing
+from tidewatch.llm.quality_rules import OP8_SQL, op8_quality_rules
 from tidewatch.llm.simhash import op9_simhash
 from tidewatch.llm.token_files import op1_token_planes
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_byte_bpe": op2_byte_bpe,
+    "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_quality_rules": OP8_SQL,
+    "op10_mixing": OP10_SQL,
+}
