@@ -7,16 +7,19 @@ from tidewatch.llm.mixing import OP10_SQL, op10_mixing
 from tidewatch.llm.quality_rules import OP8_SQL, op8_quality_rules
 from tidewatch.llm.simhash import op9_simhash
 from tidewatch.llm.token_files import op1_token_planes
+from tidewatch.llm.topk import OP6_SQL, op6_topk
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_byte_bpe": op2_byte_bpe,
+    "op6_topk": op6_topk,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_topk": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_mixing": OP10_SQL,
 }
