@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidewatch.llm.byte_bpe import op2_byte_bpe
 from tidewatch.llm.mixing import OP10_SQL, op10_mixing
+from tidewatch.llm.quality_model import op7_quality_qda
 from tidewatch.llm.quality_rules import OP8_SQL, op8_quality_rules
 from tidewatch.llm.simhash import op9_simhash
 from tidewatch.llm.token_files import op1_token_planes
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_byte_bpe": op2_byte_bpe,
     "op6_topk": op6_topk,
+    "op7_quality_qda": op7_quality_qda,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
