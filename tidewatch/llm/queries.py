@@ -6,6 +6,7 @@ from tidewatch.llm.byte_bpe import op2_byte_bpe
 from tidewatch.llm.mixing import OP10_SQL, op10_mixing
 from tidewatch.llm.quality_model import op7_quality_qda
 from tidewatch.llm.quality_rules import OP8_SQL, op8_quality_rules
+from tidewatch.llm.secrets import op3_secret_scan
 from tidewatch.llm.simhash import op9_simhash
 from tidewatch.llm.token_files import op1_token_planes
 from tidewatch.llm.topk import OP6_SQL, op6_topk
@@ -13,6 +14,7 @@ from tidewatch.llm.topk import OP6_SQL, op6_topk
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_secret_scan": op3_secret_scan,
     "op6_topk": op6_topk,
     "op7_quality_qda": op7_quality_qda,
     "op8_quality_rules": op8_quality_rules,
