@@ -10,11 +10,13 @@ from tidewatch.llm.secrets import op3_secret_scan
 from tidewatch.llm.simhash import op9_simhash
 from tidewatch.llm.token_files import op1_token_planes
 from tidewatch.llm.topk import OP6_SQL, op6_topk
+from tidewatch.llm.warc import OP4_SQL, op4_warc_chunks
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
+    "op4_warc_chunks": op4_warc_chunks,
     "op6_topk": op6_topk,
     "op7_quality_qda": op7_quality_qda,
     "op8_quality_rules": op8_quality_rules,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_warc_chunks": OP4_SQL,
     "op6_topk": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_mixing": OP10_SQL,
