@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewatch.llm.byte_bpe import op2_byte_bpe
+from tidewatch.llm.html_text import op5_host_paths
 from tidewatch.llm.mixing import OP10_SQL, op10_mixing
 from tidewatch.llm.quality_model import op7_quality_qda
 from tidewatch.llm.quality_rules import OP8_SQL, op8_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op4_warc_chunks": op4_warc_chunks,
+    "op5_host_paths": op5_host_paths,
     "op6_topk": op6_topk,
     "op7_quality_qda": op7_quality_qda,
     "op8_quality_rules": op8_quality_rules,
