@@ -341,8 +341,8 @@ def decode_documents(encoded: DataFrame, ranks: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, decoded binary")
 
 
-def digest_documents(docs: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, in one narrow pass."""
+def digest_documents(docs: DataFrame, ranks: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, with_ids: ids, of every whole text, in one narrow pass."""
 
     def digest(batches):
         m = merger(ranks)
@@ -351,9 +351,11 @@ def digest_documents(docs: DataFrame, ranks: str) -> DataFrame:
                 rows = m.encode(texts)
                 decoded = [hashlib.sha256(m.decode(i, m.offsets(i))).hexdigest() for i in rows]
                 columns = [doc_ids, pa.array([len(i) for i in rows], pa.int64()), pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in rows]), pa.array(decoded)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    columns.append(pa.array([i.astype("<i4") for i in rows], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(digest, schema)
 
 

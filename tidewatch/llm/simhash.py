@@ -30,6 +30,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -154,22 +155,45 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def _rooted(hashed: DataFrame, posting: int) -> DataFrame:
+    """fp, first_id (smallest doc_id with it), root (fingerprint naming its component), stored."""
+    distinct = common.stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    member = common.stored(components(links(distinct.select("fp"), posting)), "components")
+    rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return common.stored(rooted, "rooted")
+
+
 def near_duplicates(docs: DataFrame, posting: int = POSTING) -> DataFrame:
     """doc_id, fp, root (fingerprint naming the component), component_id, one row per document.
 
     component_id is the smallest doc_id of the component.
     """
     hashed = common.stored(fingerprints(docs), "fingerprints")
-    distinct = common.stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    member = common.stored(components(links(distinct.select("fp"), posting)), "components")
-    rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = common.stored(rooted, "rooted")
+    rooted = _rooted(hashed, posting)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = common.stored(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
     # Both sides are read from files, so Spark can split the partition of a hot fingerprint.
     return hashed.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
+def representatives(docs: DataFrame, posting: int = POSTING) -> DataFrame:
+    """Rows of ``docs``, all columns, that stand for their component: one for each.
+
+    The document with the smallest doc_id stays; of rows that repeat it, one.
+    """
+    rooted = _rooted(fingerprints(docs), posting)
+    first = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "fp")).alias("least")
+    keepers = common.stored(rooted.groupBy("root").agg(first).select(F.col("least.first_id").alias("tw_id"), F.col("least.fp").alias("tw_kept")), "keepers")
+
+    @F.pandas_udf("long")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), dtype="int64")
+
+    marked = docs.withColumn("tw_fp", hashed(F.col("text").cast("string")))
+    kept = marked.join(keepers, (F.col("tw_fp") == F.col("tw_kept")) & F.col("doc_id").eqNullSafe(F.col("tw_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "tw_fp"]).drop("tw_fp")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: fingerprint and component of every document."""
     found = near_duplicates(common.documents(spark, sf_dir))
