@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tidewatch import constants as C
 from tidewatch.functions import text
@@ -23,7 +24,7 @@ def exact_text_groups(members: DataFrame) -> DataFrame:
     return normed.groupBy("cluster_id", "norm").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     """The ratio test; it is not symmetric, so a must be the earlier text."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() >= C.NEAR_DUPLICATE_RATIO for x, y in zip(a, b)], dtype="bool")

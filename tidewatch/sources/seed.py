@@ -18,7 +18,7 @@ REPORTS = [
 def seed_reports(spark: SparkSession) -> DataFrame:
     start = "2026-09-11 08:30:00"
     rows = spark.createDataFrame([(i, u, t, a, o, m, d, x) for i, u, t, a, o, m, d, x in REPORTS], "id string, source_user string, trapped int, gps_lat double, gps_lon double, minutes int, distance_m double, raw_text string")
-    return rows.withColumn("ts", F.timestampadd("MINUTE", F.col("minutes"), F.lit(start).cast("timestamp"))).drop("minutes")
+    return rows.withColumn("ts", F.timestamp_add("MINUTE", F.col("minutes"), F.lit(start).cast("timestamp"))).drop("minutes")
 
 
 def seed_incident(incidents: DataFrame) -> DataFrame:
