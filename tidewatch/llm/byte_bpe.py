@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import common
 
 #: Pieces kept by a Python worker, and the longest that is kept.
-CACHE_PIECES, CACHE_CHARS = 700_000, 48
+CACHE_PIECES, CACHE_CHARS = 300_000, 48
 #: Characters scanned at once.
 SCAN_CHARS = 1 << 20
 
@@ -354,6 +354,7 @@ def digest_documents(docs: DataFrame, ranks: str, with_ids: bool = False) -> Dat
                 if with_ids:
                     columns.append(pa.array([i.astype("<i4") for i in rows], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        common.release()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(digest, schema)

@@ -2,51 +2,39 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Class of the contract's words: everything but these six ASCII blanks.
-BLANKS = " \t\n\x0b\x0c\r"
+from tidewatch.sources.storage import shared_dir, stored
 
-_fallback: list[str] = []
+__all__ = ["BLANKS", "bound_batches", "documents", "filesystem", "parallelism", "release", "shared_dir", "stored", "table", "word_array"]
 
+#: Class of the contract's words: everything but these six ASCII blanks.
+BLANKS = " \t\n\x0b\x0c\r"
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local
-    mode, tests) a temporary folder of this process is used and removed at exit.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _fallback:
-            _fallback.append(tempfile.mkdtemp(prefix="tidewatch-"))
-            atexit.register(shutil.rmtree, _fallback[0], True)
-        root = f"file://{_fallback[0]}"
-    return root.rstrip("/")
+#: Rows and bytes of an Arrow batch where the session has Spark's defaults: texts are long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(16 << 20))}
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared root; every call gives another one."""
-    return f"{shared_root(spark)}/tidewatch-{name}-{uuid.uuid4().hex}"
+def bound_batches(spark: SparkSession) -> None:
+    """Keep what a Python worker holds at once small; a session that says otherwise is left alone."""
+    for key, (default, value) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def release() -> None:
+    """Give memory that a task has freed back to the system, at the end of its rows.
 
-    Cuts the lineage, so a lost executor costs only its own running tasks, and lets
-    several passes use the rows without computing them again.
+    Python workers are used again by later stages, which would add theirs to it.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    pa.default_memory_pool().release_unused()
+    if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+        trim.malloc_trim(0)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -60,8 +48,13 @@ def parallelism(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def word_array(text):

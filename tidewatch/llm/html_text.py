@@ -226,4 +226,4 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: the main text of every page."""
-    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return main_text(common.table(spark, sf_dir, "pages"))

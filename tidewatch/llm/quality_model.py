@@ -20,6 +20,7 @@ an empty table gives an empty result; other columns are passed over.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,6 +94,7 @@ def doc_statistics(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, x array<double>")
 
@@ -113,12 +115,15 @@ class Model:
         n, total, square = (sum(moments[c][k] for c in (0, 1)) for k in range(3))
         self.centre = total / n
         spread = np.sqrt(np.maximum(np.diag(square) / n - self.centre**2, 0))
-        self.scale = np.where(spread > 1e-9, spread, 1.0)
+        # Below this a spread is what rounding leaves of a constant.
+        self.scale = np.where(spread > 1e-6 * (1 + np.abs(self.centre)), spread, 1.0)
         classes = {}
         for c in (0, 1):
             count, s, q = moments[c]
             mean = s / count
-            classes[c] = (count, (mean - self.centre) / self.scale, (q / count - np.outer(mean, mean)) / np.outer(self.scale, self.scale))
+            cov = (q / count - np.outer(mean, mean)) / np.outer(self.scale, self.scale)
+            level, turn = np.linalg.eigh((cov + cov.T) / 2)
+            classes[c] = (count, (mean - self.centre) / self.scale, (turn * np.maximum(level, 0)) @ turn.T)
         pooled = sum(k * cov for k, _, cov in classes.values()) / n
         self.parts = []
         for c in (0, 1):
@@ -167,9 +172,11 @@ def scorer(model: Model):
     """A column function from a text to its score."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in texts], np.float64).reshape(-1, len(NAMES))
-        return pd.Series(model.scores(x), dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            x = np.array([statistics(t) for t in texts], np.float64).reshape(-1, len(NAMES))
+            yield pd.Series(model.scores(x), dtype="float64")
+        common.release()
 
     return score
 
@@ -196,4 +203,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: a quality score of every whole text."""
-    return classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classify(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))

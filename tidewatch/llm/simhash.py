@@ -16,8 +16,7 @@ most two pairs, so every linked pair meets in at least one block.
   share one are within 2 bits of each other. Such a key has at most 65 members and gives
   them a star of links, which is exact and linear in the posting.
 
-Components come from alternating large-star and small-star rounds over the links, each
-round written to the shared folder.
+Components come from ``operators.components``.
 
 Cases: null, empty or blank texts have fingerprint zero and link like any other; fewer
 than three words make one shingle of the whole sequence; a null doc_id is a document but
@@ -27,6 +26,7 @@ table gives an empty result; other columns are passed over.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
+from tidewatch.operators.components import connected_components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
 #: A posting with more fingerprints takes the way of one-bit changes.
@@ -78,6 +79,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp long")
 
@@ -127,38 +129,10 @@ def links(distinct: DataFrame, posting: int = POSTING) -> DataFrame:
     return verified.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node reachable) for every node of ``edges`` (a, b longs).
-
-    Alternates large-star and small-star, which bounds rounds by the logarithm squared of
-    the number of nodes and adds no edge for each pair of a component. Both operations
-    deal the edges by node; a hot centre is only reduced to a minimum and joined back.
-    """
-    spark = edges.sparkSession
-    now = common.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = common.stored(large.distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b")
-        now = common.stored(small.distinct(), "small-star")
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-
-
 def _rooted(hashed: DataFrame, posting: int) -> DataFrame:
     """fp, first_id (smallest doc_id with it), root (fingerprint naming its component), stored."""
     distinct = common.stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    member = common.stored(components(links(distinct.select("fp"), posting)), "components")
+    member = common.stored(connected_components(links(distinct.select("fp"), posting)), "components")
     rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return common.stored(rooted, "rooted")
 
@@ -186,8 +160,10 @@ def representatives(docs: DataFrame, posting: int = POSTING) -> DataFrame:
     keepers = common.stored(rooted.groupBy("root").agg(first).select(F.col("least.first_id").alias("tw_id"), F.col("least.fp").alias("tw_kept")), "keepers")
 
     @F.pandas_udf("long")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), dtype="int64")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), dtype="int64")
+        common.release()
 
     marked = docs.withColumn("tw_fp", hashed(F.col("text").cast("string")))
     kept = marked.join(keepers, (F.col("tw_fp") == F.col("tw_kept")) & F.col("doc_id").eqNullSafe(F.col("tw_id")), "left_semi")

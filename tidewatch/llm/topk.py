@@ -177,7 +177,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: 20 best for every vec_id divisible by 20, against all rows."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = common.table(spark, sf_dir, "embeddings")
     return top_k(vectors, F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))
 
 
