@@ -35,7 +35,7 @@ RULES: list[tuple[str, str, str, int | None, int | None]] = [
     ("mean_word_length", "word_chars", "n_words", 200, 1500),
     ("symbols", "n_symbols", "n_words", None, 10),
     ("stop_words", "n_stop_words", "n_words", 1, None),
-    ("duplicate_lines", "n_dup_lines", "n_lines", None, 30),
+    ("duplicate_lines", "n_dup_lines", "n_lines", None, 50),
     ("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 30),
     ("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
     ("capitals", "n_capitals", "word_chars", None, 50),
