@@ -27,7 +27,10 @@ def java(pattern: str, flags: str = "iud") -> str:
         elif two in (r"\w", r"\W", r"\s", r"\S"):
             out.append({r"\w": f"[{_WORD}]", r"\W": f"[^{_WORD}]", r"\s": f"[{_SPACE}]", r"\S": f"[^{_SPACE}]"}[two])
         elif two == r"\b":
-            out.append(f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))")
+            # The patterns have word characters on the inner side, so one look is enough, and
+            # a look behind first leaves only the beginnings of words to try.
+            opens = pattern[k + 2 : k + 3].isalnum() or pattern[k + 2 : k + 3] in ("(", "\\")
+            out.append(f"(?<![{_WORD}])" if opens else f"(?![{_WORD}])")
         elif two[0] == "\\":
             out.append(two)
         else:

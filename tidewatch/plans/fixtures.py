@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import constants as C
 from tidewatch.operators import clustering, extraction, geolocation
+from tidewatch.sources.storage import spread
 
 REPORTS = """
 SELECT event_id, 'rep_' || lpad(CAST(event_id AS STRING), 8, '0') AS id,
@@ -82,7 +83,7 @@ FROM events
 def derived(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     """One of the statements above over the events table."""
     view = f"tw_events_{zlib.crc32(sf_dir.encode())}"
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView(view)
+    spread(spark.read.parquet(f"{sf_dir}/events.parquet")).createOrReplaceTempView(view)
     return spark.sql(query.replace("FROM events", f"FROM {view}"))
 
 

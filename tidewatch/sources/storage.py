@@ -37,6 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows of an input with fewer splits than cores, such as one small file, to all cores.
+
+    Larger inputs are left as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Number all rows from 1 in ``order`` without bringing them to one task.
 
