@@ -9,7 +9,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.sources.storage import shared_dir, stored
+from tidewatch.sources.storage import shared_dir, spread, stored
 
 __all__ = ["BLANKS", "bound_batches", "documents", "filesystem", "parallelism", "release", "shared_dir", "stored", "table", "word_array"]
 
@@ -50,7 +50,7 @@ def parallelism(df: DataFrame) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
