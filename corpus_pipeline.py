@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import byte_bpe, common, mixing, quality_model, secrets, simhash
+from tidewatch.llm import byte_bpe, common, mixing, near_copies, quality_model, secrets, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +19,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
+    """One document of each group of near-duplicates stays, that with the smallest doc_id.
+
+    Linked are fingerprints within op9's 2 bits, and texts whose five-word shingles have a
+    Jaccard similarity of 0.8 or more.
+    """
     common.bound_batches(spark)
-    return simhash.representatives(docs)
+    marked = near_copies.marks(docs)
+    return simhash.representatives(docs, hashed=marked.select("doc_id", "fp"), more=near_copies.links(docs, marked))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

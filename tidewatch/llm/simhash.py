@@ -129,10 +129,11 @@ def links(distinct: DataFrame, posting: int = POSTING) -> DataFrame:
     return verified.unionByName(stars).distinct()
 
 
-def _rooted(hashed: DataFrame, posting: int) -> DataFrame:
+def _rooted(hashed: DataFrame, posting: int, more: DataFrame | None = None) -> DataFrame:
     """fp, first_id (smallest doc_id with it), root (fingerprint naming its component), stored."""
     distinct = common.stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    member = common.stored(connected_components(links(distinct.select("fp"), posting)), "components")
+    found = links(distinct.select("fp"), posting)
+    member = common.stored(connected_components(found if more is None else found.unionByName(more)), "components")
     rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return common.stored(rooted, "rooted")
 
@@ -150,12 +151,13 @@ def near_duplicates(docs: DataFrame, posting: int = POSTING) -> DataFrame:
     return hashed.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def representatives(docs: DataFrame, posting: int = POSTING) -> DataFrame:
+def representatives(docs: DataFrame, posting: int = POSTING, hashed: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """Rows of ``docs``, all columns, that stand for their component: one for each.
 
-    The document with the smallest doc_id stays; of rows that repeat it, one.
+    The document with the smallest doc_id stays; of rows that repeat it, one. ``hashed`` are the
+    ``fingerprints`` where the caller has them, ``more`` further links (a, b) of fingerprints.
     """
-    rooted = _rooted(fingerprints(docs), posting)
+    rooted = _rooted(fingerprints(docs) if hashed is None else hashed, posting, more)
     first = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "fp")).alias("least")
     keepers = common.stored(rooted.groupBy("root").agg(first).select(F.col("least.first_id").alias("tw_id"), F.col("least.fp").alias("tw_kept")), "keepers")
 
