@@ -1050,12 +1050,24 @@ def phash_images(spark, d):
 # ------------------------------------------------------------ streams
 
 
-def _as_stream(spark, df, files: int = 2):
-    """The rows as a file stream, oldest first: ``files`` files, one in a micro-batch."""
-    from tidewatch.sources.storage import shared_dir
-
-    path = shared_dir(spark, "stream")
-    df.repartitionByRange(files, "ts").write.parquet(path)
+def _as_stream(spark, df, files: int = 2, end: dict | None = None):
+    """The rows as a file stream, oldest first: ``files`` files, one in a micro-batch.
+
+    The source takes files by modification time, so each is written when the one before is
+    there. ``end`` gives the columns of a last row, a day after all others in a file of its
+    own, which moves the watermark past them; its own result stays open, so it is never given.
+    """
+    from tidewatch.sources.storage import shared_dir, stored
+
+    path, rows = shared_dir(spark, "stream"), stored(df, "replay")
+    cuts = rows.agg(F.percentile_approx(F.unix_micros("ts"), [k / files for k in range(1, files)], 10_000).alias("c")).first()["c"] or []
+    at, bounds = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 63))), [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = rows if low is None else rows.filter(at >= low)
+        (part if high is None else part.filter(at < high)).coalesce(1).write.mode("append").parquet(path)
+    if end is not None:
+        last = rows.filter("ts IS NOT NULL").orderBy(F.desc("ts")).limit(1)
+        last.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 1 DAY")} | {k: F.lit(v) for k, v in end.items()}).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -1100,7 +1112,7 @@ def stream_leader_cluster(spark, d):
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         located = X.located(spark, d).select("id", "disaster_type", "lat", "lon", "radius_m", "ts")
-        return _run(spark, leader(_as_stream(spark, located), "1 minute"))
+        return _run(spark, leader(_as_stream(spark, located, end={"disaster_type": "END", "id": "END"}), "1 minute")).filter("id <> 'END'")
     finally:
         spark.conf.set(key, before)
 
