@@ -19,6 +19,12 @@ def test_replay_is_in_order_of_time(spark):
     assert len(seen) == 2 and sum(s[2] for s in seen) == 1000 and seen[0][1] < seen[1][0]
 
 
+def test_all_sessions_are_given(spark):
+    at = fixtures.inactivity(fixtures.located(spark, SF)).groupBy("disaster_type", F.unix_micros("session").alias("s")).agg(F.count("*").alias("n"))
+    got = queries.QUERIES["stream_sessions"](spark, SF).select("disaster_type", F.unix_micros("first_ts").alias("s"), "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, at.collect()))
+
+
 def test_all_located_reports_are_clustered(spark):
     batch = {r["id"]: r["cluster_id"] for r in queries.QUERIES["cluster_reports"](spark, SF).collect()}
     stream = {r["id"]: r["first_id"] for r in queries.QUERIES["stream_leader_cluster"](spark, SF).collect()}

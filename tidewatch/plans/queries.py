@@ -1100,7 +1100,7 @@ def stream_extract(spark, d):
 def stream_sessions(spark, d):
     from tidewatch.streaming.incidents import stream_sessions as sessions
 
-    return _run(spark, sessions(_as_stream(spark, X.located(spark, d).select("disaster_type", "ts")), "1 minute"))
+    return _run(spark, sessions(_as_stream(spark, X.located(spark, d).select("disaster_type", "ts"), end={"disaster_type": "END"}), "1 minute")).filter("disaster_type <> 'END'")
 
 
 @query()
