@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,9 +17,16 @@ _fallback: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; where unset, one of this process."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of this process serves a local master; on a cluster executors
+    would not see it, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master or 'the cluster'} share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="tidewatch-"))
             atexit.register(shutil.rmtree, _fallback[0], True)
@@ -30,13 +39,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tidewatch-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove ``stored`` tables that nothing will read again, lazy results included."""
+    for table in tables:
+        spark = table.sparkSession
+        root, files = shared_root(spark), table.inputFiles()
+        if files:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+            if hadoop.getName().startswith("tidewatch-") and hadoop.getParent().toUri().getPath() == urlparse(root).path:
+                hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows of an input with fewer splits than cores, such as one small file, to all cores.
 
