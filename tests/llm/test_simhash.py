@@ -59,6 +59,30 @@ def test_links_connect_just_what_brute_force_does(spark, posting):
         assert (own(a) == own(b)) == (want[a] == want[b])
 
 
+def test_tally_of_entries_is_that_of_positional_bytes(spark):
+    r = random.Random(9)
+    seeds = [r.getrandbits(64) for _ in range(4)]
+    values = set()
+    for seed in seeds:  # all ways to share 0 to 7 bytes with the seed
+        for k in range(9):
+            for _ in range(8):
+                value = bytearray(seed.to_bytes(8, "little"))
+                for at in r.sample(range(8), k):
+                    value[at] ^= 1 << r.randrange(8)
+                values.add(int.from_bytes(value, "little"))
+    got = {(a & (2**64 - 1), b & (2**64 - 1)): n for a, b, n in simhash.tallies(simhash._postings(_fps(spark, values)), 1000).collect()}
+    met = {0: 0, 1: 0, 2: 0, 3: 0, 5: 1, 6: 3, 7: 7}  # 4: one or none
+    below = linked = 0
+    for a, b in combinations(sorted(values, key=lambda v: np.uint64(v).view(np.int64)), 2):
+        shared = sum((a ^ b) >> 8 * k & 255 == 0 for k in range(8))
+        n = got.get((a, b), 0)
+        assert n == met[shared] if shared != 4 else n in (0, 1)
+        below += 0 < n < simhash.SHARED_ENTRIES
+        linked += (a ^ b).bit_count() <= 2
+        assert (a ^ b).bit_count() > 2 or n >= simhash.SHARED_ENTRIES
+    assert below and linked  # the count decides: without it more pairs would be verified
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1300)]
     roots = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -86,3 +110,9 @@ def test_null_ids(docs):
     rows = simhash.near_duplicates(docs(["a b c d", "a b c d", "z y x"], ids=[None, 5, None])).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in rows) == [("5", "5"), ("None", "5"), ("None", "None")]
     assert len(simhash.representatives(docs(["a b c d", "a b c d", "z y x"], ids=[None, 5, None])).collect()) == 2
+
+
+def test_repeated_ids_with_other_texts(docs):
+    texts, ids = ["a b c d", "a b c d", "z y x", "k l m n", "k l m n", "q"], [1, 1, 1, 1, 7, 9]
+    kept = simhash.representatives(docs(texts, ids=ids)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, "a b c d"), (1, "k l m n"), (1, "z y x"), (9, "q")]

@@ -1,20 +1,23 @@
 """SimHash near-duplicates by an inverted index of fingerprint bytes at their positions.
 
 Fingerprints of 64 bits link when 2 bits or fewer differ. Two such fingerprints share at
-least 6 of their 8 (position, byte) entries. Postings of single entries would each hold a
-256th of all fingerprints, so the index is keyed by blocks of four entries: the positions
-are paired, and the six unions of two pairs are the blocks. Two differing bits touch at
-most two pairs, so every linked pair meets in at least one block.
+least 6 of their 8 positional bytes. A posting of one positional byte would hold a 256th of
+all fingerprints, so an entry of the index is four positional bytes together. Of the 70 sets
+of four positions, 14 are taken such that every three positions lie in exactly one: those
+whose numbers have an exclusive or of 0. Two fingerprints that share 8, 7, 6, 5 positional
+bytes then meet in 14, 7, 3, 1 entries, and with fewer in 1 at most. So the tally of shared
+entries says how many positional bytes a pair shares, and a linked pair reaches 3.
 
 * Fingerprints are made distinct before anything is paired: a group of copies is one
   entry, whatever its size.
-* Postings of up to ``posting`` fingerprints emit their pairs; the shared positional bytes
-  of a pair are tallied, pairs below the guaranteed 6 are dropped, the rest is verified
-  bit by bit.
+* Postings of up to ``posting`` fingerprints emit their pairs. Spark tallies the entries that
+  each pair shares; pairs below the guaranteed 3 are dropped, the rest is verified bit by bit.
 * A larger posting is never paired. Its fingerprints are keyed by themselves and their 64
   one-bit changes instead: two fingerprints within 2 bits share such a key, and all that
   share one are within 2 bits of each other. Such a key has at most 65 members and gives
-  them a star of links, which is exact and linear in the posting.
+  them a star of links, which is exact and linear in the posting. A linked pair either meets
+  in some larger posting, and then both take this way, or in small ones alone, where its
+  tally is whole: ``posting`` changes the work, never the result.
 
 Components come from ``operators.components``.
 
@@ -35,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidewatch.llm import common
 from tidewatch.operators.components import connected_components
@@ -42,8 +46,10 @@ from tidewatch.operators.components import connected_components
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
 #: A posting with more fingerprints takes the way of one-bit changes.
 POSTING = 64
-#: Positional bytes that two linked fingerprints share at least.
-SHARED_BYTES = 8 - MAX_BITS
+#: Entries of the index: every three of the eight positions are in exactly one.
+ENTRIES = [e for e in combinations(range(8), 4) if e[0] ^ e[1] ^ e[2] ^ e[3] == 0]
+#: Entries that two linked fingerprints share at least.
+SHARED_ENTRIES = min(sum(not touched & set(e) for e in ENTRIES) for touched in map(set, combinations(range(8), MAX_BITS)))
 
 _ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK_TO_SPACE = bytes(32 if 9 <= b <= 13 else b for b in range(256))
@@ -84,37 +90,48 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp long")
 
 
-def _block_keys(fp):
-    """The six blocks: number and the four positional bytes, as one long each."""
-    pairs = [F.lit(0xFFFF).bitwiseAND(F.shiftrightunsigned(fp, 16 * k)) for k in range(4)]
-    return F.array(*[
-        F.lit(n << 32).bitwiseOR(F.shiftleft(pairs[a], 16)).bitwiseOR(pairs[b]).cast("long") for n, (a, b) in enumerate(combinations(range(4), 2))
-    ])
+def _entries(fp):
+    """The positional bytes of each entry and its number, as one long each."""
+    at = [F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
 
+    def entry(n: int, places: tuple[int, ...]):
+        key = F.lit(n << 32)
+        for k, place in enumerate(places):
+            key = key.bitwiseOR(F.shiftleft(at[place], 8 * k))
+        return key.cast("long")
 
-def _shared_bytes(a, b):
-    """Tally of positions at which two fingerprints have the same byte."""
-    x = a.bitwiseXOR(b)
-    return sum(F.when(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(8))
+    return F.array(*[entry(n, places) for n, places in enumerate(ENTRIES)])
 
 
-def links(distinct: DataFrame, posting: int = POSTING) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints (column fp) that connect all within 2 bits.
-
-    Every linked pair is either given or joined by a path of given pairs; no pair that is
-    further apart is given.
-    """
-    index = distinct.select("fp", F.explode(_block_keys(F.col("fp"))).alias("key"))
+def _postings(distinct: DataFrame) -> DataFrame:
+    """fp, key, n: the entries that two fingerprints or more share, with how many; stored."""
+    index = distinct.select("fp", F.explode(_entries(F.col("fp"))).alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = common.stored(index.join(sizes, "key"), "postings")
-    small = (
+    return common.stored(index.join(sizes, "key"), "postings")
+
+
+def tallies(met: DataFrame, posting: int = POSTING) -> DataFrame:
+    """a, b, shared: how many postings of up to ``posting`` fingerprints each pair has in common."""
+    return (
         met.filter(F.col("n") <= posting)
         .groupBy("key")
         .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
         .select(F.col("fps"), F.posexplode("fps").alias("at", "a"))
         .select("a", F.explode(F.slice("fps", F.col("at") + 2, F.lit(posting))).alias("b"))
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("shared"))
     )
-    verified = small.filter(_shared_bytes(F.col("a"), F.col("b")) >= SHARED_BYTES).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+
+
+def links(distinct: DataFrame, posting: int = POSTING) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints (column fp) that connect all within 2 bits.
+
+    Every linked pair is either given or joined by a path of given pairs; no pair that is
+    further apart is given.
+    """
+    met = _postings(distinct)
+    enough = tallies(met, posting).filter(F.col("shared") >= SHARED_ENTRIES).select("a", "b")
+    verified = enough.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
     crowded = met.filter(F.col("n") > posting).select("fp").distinct()
     stars = (
@@ -151,25 +168,33 @@ def near_duplicates(docs: DataFrame, posting: int = POSTING) -> DataFrame:
     return hashed.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
+@F.pandas_udf(LongType())
+def _fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), dtype="int64")
+    common.release()
+
+
 def representatives(docs: DataFrame, posting: int = POSTING, hashed: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """Rows of ``docs``, all columns, that stand for their component: one for each.
 
     The document with the smallest doc_id stays; of rows that repeat it, one. ``hashed`` are the
-    ``fingerprints`` where the caller has them, ``more`` further links (a, b) of fingerprints.
+    stored ``fingerprints`` where the caller has them, ``more`` further links (a, b) of fingerprints.
+
+    Rows are found by doc_id. Only those whose doc_id is not theirs alone (a null one too) are
+    told apart by the fingerprint of their text, and only they are made distinct.
     """
-    rooted = _rooted(fingerprints(docs) if hashed is None else hashed, posting, more)
+    hashed = common.stored(fingerprints(docs), "fingerprints") if hashed is None else hashed
+    rooted = _rooted(hashed, posting, more)
     first = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "fp")).alias("least")
     keepers = common.stored(rooted.groupBy("root").agg(first).select(F.col("least.first_id").alias("tw_id"), F.col("least.fp").alias("tw_kept")), "keepers")
-
-    @F.pandas_udf("long")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), dtype="int64")
-        common.release()
-
-    marked = docs.withColumn("tw_fp", hashed(F.col("text").cast("string")))
-    kept = marked.join(keepers, (F.col("tw_fp") == F.col("tw_kept")) & F.col("doc_id").eqNullSafe(F.col("tw_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "tw_fp"]).drop("tw_fp")
+    again = hashed.groupBy(F.col("doc_id").alias("tw_id")).agg(F.count("*").alias("tw_n")).filter("tw_n > 1 OR tw_id IS NULL").select("tw_id")
+    again = common.stored(again, "repeated")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("tw_id"))
+    alone = docs.join(keepers.join(again, keepers["tw_id"].eqNullSafe(again["tw_id"]), "left_anti"), own, "left_semi")
+    marked = docs.join(again, own, "left_semi").withColumn("tw_fp", _fingerprint(F.col("text").cast("string")))
+    told = marked.join(keepers, (F.col("tw_fp") == F.col("tw_kept")) & own, "left_semi").dropDuplicates(["doc_id", "tw_fp"])
+    return alone.unionByName(told.drop("tw_fp"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
