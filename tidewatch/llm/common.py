@@ -9,9 +9,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.sources.storage import shared_dir, spread, stored
+from tidewatch.sources.storage import discard, shared_dir, spread, stored
 
-__all__ = ["BLANKS", "bound_batches", "documents", "filesystem", "parallelism", "release", "shared_dir", "stored", "table", "word_array"]
+__all__ = ["BLANKS", "bound_batches", "discard", "documents", "filesystem", "parallelism", "release", "shared_dir", "stored", "table", "word_array"]
 
 #: Class of the contract's words: everything but these six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
