@@ -38,10 +38,17 @@ def test_quality_keeps_good_documents(spark, steps):
 
 
 def test_near_dedup_against_brute_force(steps):
-    before = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in steps["quality classifier"]}
+    """Linked: fingerprints within 2 bits, or five-word shingles with a Jaccard similarity of 0.8 or more."""
+    before = {}
+    for r in steps["quality classifier"]:
+        words = (r["text"] or "").translate({c: c + 32 for c in range(65, 91)}).split()
+        shingles = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        before[r["doc_id"]] = simhash.fingerprint(r["text"]), shingles
     group = {}
     for d in sorted(before):
-        near = {group[e] for e in group if (before[d] ^ before[e]).bit_count() <= 2}
+        fp, own = before[d]
+        alike = lambda e: (fp ^ before[e][0]).bit_count() <= 2 or (own and 9 * len(own & before[e][1]) >= 4 * (len(own) + len(before[e][1])))  # noqa: B023, E731
+        near = {group[e] for e in group if alike(e)}
         root = min([d, *near])
         group = {e: root if g in near else g for e, g in group.items()} | {d: root}
     assert sorted(r["doc_id"] for r in steps["SimHash near-dedup"]) == sorted(set(group.values()))

@@ -6,14 +6,16 @@ order of shingles, as long as all sets have the same (prefix filter). Nothing is
 
 * The order is by hash, with shingles that a sample of the documents shows in many texts
   at the end. Common lines are thus in a prefix only where a text is little else. The
-  sample changes the work, never the result.
+  sample changes the work, never the result. Tasks get it as a table of bits of a fixed size.
 * Equal sets are one, whatever their number.
 * Each set is first verified against one other, of the least sets of its postings that with
   which it shares most. What these links connect needs no further pair; postings that still
   hold members of different components give all pairs between those. A group of near copies costs a star, while
   texts that share a hot prefix and are no near copies cost their pairs.
-* Candidates pass an upper bound on what they share, by counts in buckets, and are then
-  verified on whole sets, made again from the texts of candidates alone.
+* Candidates pass an upper bound on what they share, by bit maps of 2 to 4 bits for each
+  shingle: a bit that one map has and the other has not is a shingle that they don't share. Only what
+  is left is verified on whole sets, made again from the texts of candidates alone; of each hash they
+  carry 40 bits.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ from tidewatch.llm import common, simhash
 from tidewatch.operators.components import connected_components
 
 WORDS = 5
-#: Share of documents that are sampled for hot shingles, texts in it from which one is hot, and how many count as hot.
-SAMPLE, HOT, HOT_KEYS = 0.1, 8, 50_000
-#: Shingles hashed at once, and bits of the largest table of candidates that goes to tasks.
+#: Share of documents that are sampled for hot shingles, and texts in it from which one is hot.
+SAMPLE, HOT = 0.1, 8
+#: Shingles hashed at once, and bits (2 to the power of) of the largest table of hot shingles or candidates that goes to tasks.
 _BLOCK, _TABLE = 1 << 16, 26
-#: Buckets of a sketch, and prefix entries that a task packs at once.
-_BUCKETS, _PACK = 128, 1 << 20
+#: Prefix entries that a task packs at once, and bytes that whole sets keep of a hash.
+_PACK, _KEEP = 1 << 20, 5
 
 _random = np.random.default_rng(42)
 _VALUES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _random.integers(0, 2, 256, dtype=np.uint64)
@@ -76,20 +78,36 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def _prefix(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+class Bits:
+    """A set of longs by their leading bits: has all that are in it, and a few others."""
+
+    def __init__(self, table: np.ndarray, lead: int):
+        self.table, self.lead = table, lead
+
+    @classmethod
+    def of(cls, longs: DataFrame) -> "Bits":
+        """Of the column ``id``; the table is summed up in tasks and has ``2 ** _TABLE`` bits at most."""
+        lead = int(np.clip(np.ceil(np.log2(16 * max(1, longs.count()))), 12, _TABLE))
+        slot = F.shiftrightunsigned("id", 64 - lead)
+        words = longs.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(id, {64 - lead}) & 63 AS int))")).alias("bits"))
+        table = np.zeros(1 << (lead - 6), np.uint64)
+        said = words.toArrow()
+        table[said["word"].to_numpy()] = said["bits"].to_numpy().view(np.uint64)
+        return cls(table, lead)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        slot = values >> np.uint64(64 - self.lead)
+        return (self.table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _prefix(s: np.ndarray, hot: Bits) -> np.ndarray:
     """The shingles of which two near copies share one: the first in the common order."""
-    if len(hot):
-        late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-        s = np.concatenate([s[~late], s[late]])
+    late = hot.has(s)
+    s = np.concatenate([s[~late], s[late]])
     n = len(s)
     return s[: n - (4 * n + 4) // 5 + 1] if n else s
 
 
-def _arrays(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64)))
-
-
 def _set_id(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED)
 
@@ -98,49 +116,81 @@ def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def hot_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that many sampled texts have, the commonest where there are too many."""
+def hot_shingles(docs: DataFrame) -> Bits:
+    """The shingles that many sampled texts have."""
 
     def each(batches):
         for batch in batches:
             for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py()).view(np.int64))], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py()).view(np.int64))], names=["id"])
+
+    keys = docs.sample(SAMPLE, 42).select(F.col("text").cast("string")).mapInArrow(each, "id long")
+    found = common.stored(keys.groupBy("id").count().filter(F.col("count") >= HOT).select("id"), "hot")
+    return Bits.of(found)
 
-    keys = docs.sample(SAMPLE, 42).select(F.col("text").cast("string")).mapInArrow(each, "key long")
-    found = keys.groupBy("key").count().filter(F.col("count") >= HOT).orderBy(F.desc("count")).limit(HOT_KEYS).select("key").collect()
-    return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
 
+def _bit_map(s: np.ndarray) -> bytes:
+    """A bit for each value of the lowest bits of the hashes: a power of two of them, twice as many as hashes at least."""
+    m = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    bits = np.zeros(m, np.uint8)
+    bits[(s & np.uint64(m - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
-def _sketch(s: np.ndarray) -> bytes | None:
-    """How many of the shingles fall in each of the buckets, from which follows a bound on what two sets share."""
-    counts = np.bincount((s >> np.uint64(5)).astype(np.int64) % _BUCKETS, minlength=_BUCKETS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+def _most_shared(a: bytes, b: bytes, n: int, m: int) -> int:
+    """An upper bound on how many of their n and m shingles two sets share."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    p, q = 8 * len(a), 8 * len(b)
+    while p > q:
+        p //= 2
+        x = x & ((1 << p) - 1) | x >> p
+    while q > p:
+        q //= 2
+        y = y & ((1 << q) - 1) | y >> q
+    return min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
 
 
 @F.pandas_udf(BooleanType())
 def _may_share(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    """False where the sketches rule out that sets of n and m shingles are near copies."""
-    out, known = np.ones(len(a), bool), (a.notna() & b.notna()).to_numpy()
-    if known.any():
-        x, y = (np.frombuffer(b"".join(c[known]), np.uint8).reshape(-1, _BUCKETS) for c in (a, b))
-        out[known] = 9 * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= 4 * (n[known] + m[known]).to_numpy()
-    return pd.Series(out)
+    """False where the bit maps rule out that sets of n and m shingles are near copies."""
+    return pd.Series([9 * _most_shared(*row) >= 4 * (row[2] + row[3]) for row in zip(a, b, n, m)], dtype=bool)
+
+
+def _packed(s: np.ndarray) -> bytes:
+    """The last 40 bits of each hash."""
+    return s.view(np.uint8).reshape(-1, 8)[:, :_KEEP].tobytes() if len(s) else b""
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // _KEEP, 8), np.uint8)
+    out[:, :_KEEP] = np.frombuffer(raw, np.uint8).reshape(-1, _KEEP)
+    return out.view("<u8").ravel()
+
+
+@F.pandas_udf(BooleanType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        x, y = _unpacked(x), _unpacked(y)
+        # Counted with repeats: what differs in its first bits alone is as good as never there.
+        out.append(9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y)))
+    return pd.Series(out, dtype=bool)
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (as ``simhash.fingerprints``), set_id, n (shingles), sketch; stored."""
+    """doc_id, fp (as ``simhash.fingerprints``), set_id, n (shingles), bits (their bit map); stored."""
 
     def each(batches):
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
             sets = [shingle_set(t) for t in texts]
             columns = [batch.column(0), _longs([simhash.fingerprint(t) for t in texts]), _longs([_set_id(s) for s in sets])]
-            columns += [pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "set_id", "n", "sketch"])
+            columns += [pa.array([len(s) for s in sets], pa.int64()), pa.array([_bit_map(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "set_id", "n", "bits"])
         common.release()
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return common.stored(found.mapInArrow(each, "doc_id long, fp long, set_id long, n long, sketch binary"), "marks")
+    return common.stored(found.mapInArrow(each, "doc_id long, fp long, set_id long, n long, bits binary"), "marks", compression="zstd")
 
 
 def _postings(docs: DataFrame) -> DataFrame:
@@ -208,58 +258,50 @@ def _postings(docs: DataFrame) -> DataFrame:
     return common.stored(dealt.repartition(width, "part").mapInArrow(meet, "key long, id long, n long"), "postings")
 
 
-def _table(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit for each value of the leading bits of the ids, and how many bits lead."""
-    lead = int(np.clip(np.ceil(np.log2(16 * max(1, ids.count()))), 12, _TABLE))
-    slot = F.shiftrightunsigned("id", 64 - lead)
-    words = ids.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(id, {64 - lead}) & 63 AS int))")).alias("bits"))
-    table = np.zeros(1 << (lead - 6), np.uint64)
-    for r in words.collect():
-        table[r["word"]] = np.uint64(r["bits"] & ((1 << 64) - 1))
-    return table, lead
-
-
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, s: the whole sets of the ids (and a few others), stored."""
-    table, lead = _table(ids)
+    """id, s: the whole sets of the ids (and a few others), packed."""
+    wanted = Bits.of(ids)
 
     def each(batches):
         for batch in batches:
             found = {}
             for text in batch.column(0):
                 id_ = _set_id(s := shingle_set(text.as_py()))
-                slot = id_ >> (64 - lead)
-                if int(table[slot >> 6]) >> (slot & 63) & 1:
-                    found[id_] = s
+                if id_ not in found and wanted.has(np.array([id_], np.uint64))[0]:
+                    found[id_] = _packed(s)
             if found:
-                yield pa.RecordBatch.from_arrays([_longs(list(found)), _arrays(list(found.values()))], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([_longs(list(found)), pa.array(list(found.values()), pa.binary())], names=["id", "s"])
         common.release()
 
-    made = docs.select(F.col("text").cast("string")).mapInArrow(each, "id long, s array<long>")
-    return common.stored(made.dropDuplicates(["id"]), "sets")
+    return docs.select(F.col("text").cast("string")).mapInArrow(each, "id long, s binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b, with their sizes n, m) that are near copies, stored."""
-    by = lambda name, side: sketches.select(F.col("id").alias(name), F.col("sketch").alias(side))
+def _verified(pairs: DataFrame, docs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, with their sizes n, m) that are near copies, stored.
+
+    The sets of ``a`` go to ``b``'s place once each; copies of a set are put together there.
+    """
+    by = lambda name, side: maps.select(F.col("id").alias(name), F.col("bits").alias(side))
     sized = pairs.filter((F.col("a") < F.col("b")) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m"))).select("a", "b", "n", "m").distinct()
-    may = sized.join(by("a", "ka"), "a").join(by("b", "kb"), "b").filter(_may_share("ka", "kb", "n", "m")).select("a", "b")
-    may = common.stored(may, "candidates")
-    sets = _sets(docs, may.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    may = common.stored(sized.join(by("a", "ka"), "a").join(by("b", "kb"), "b").filter(_may_share("ka", "kb", "n", "m")).select("a", "b"), "candidates")
+    sets = common.stored(_sets(docs, may.select(F.explode(F.array("a", "b")).alias("id")).distinct()).groupBy("id").agg(F.first("s").alias("s")), "sets")
     met = may.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return common.stored(met.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "near")
+    near = common.stored(met.filter(_near("sa", "sb")).select("a", "b"), "near")
+    common.discard(may, sets)
+    return near
 
 
 def set_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Pairs (a, b) of set ids, all near copies, that connect all near copies."""
     met = _postings(docs)
-    sketches = common.stored(marked.filter("n > 0").select(F.col("set_id").alias("id"), "sketch").dropDuplicates(["id"]), "sketches")
+    maps = marked.filter("n > 0").select(F.col("set_id").alias("id"), "bits")
+    maps = common.stored(maps.groupBy("id").agg(F.first("bits").alias("bits")), "maps", compression="zstd")
     heads = met.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"))
     star = met.join(heads, "key").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("n"), F.col("n").alias("m"))
     # One pair for each set at first, that with most in common; whatever it leaves open is among the rest.
     shared = star.filter(F.col("a") < F.col("b")).groupBy("a", "b", "n", "m").agg(F.count("*").alias("keys"))
     best = shared.groupBy("b").agg(F.max(F.struct("keys", "a", "n", "m")).alias("x")).select("x.a", "b", "x.n", "x.m")
-    first = _verified(best, docs, sketches)
+    first = _verified(best, docs, maps)
     roots = connected_components(first)
     placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = common.stored(placed, "placed")
@@ -267,7 +309,9 @@ def set_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     left = common.stored(placed.join(open_, "key"), "open")
     other = left.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
     rest = left.withColumnRenamed("id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")))
-    return first.unionByName(_verified(rest, docs, sketches))
+    near = common.stored(first.unionByName(_verified(rest, docs, maps)), "near")
+    common.discard(met, maps, placed, left)
+    return near
 
 
 def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
