@@ -115,7 +115,7 @@ def check_clusters(spark, rows):
         assert r["uncertainty_radius_m"] == pytest.approx(max(50.0, c["radius"] / math.sqrt(len(c["ids"]))))
 
 
-@pytest.mark.parametrize("where", [(28.6, 77.3, 0.05), (0.0, 179.99, 0.06), (75.0, 10.0, 0.1), (60.0, -3.0, 0.08)])
+@pytest.mark.parametrize("where", [(28.6, 77.3, 0.05), (0.0, 179.99, 0.06), (75.0, 10.0, 0.1), (60.0, -3.0, 0.08), (85.0, 20.0, 0.2), (-75.0, 179.99, 0.1), (-85.0, -3.0, 0.2), (89.9, 0.0, 0.09)])
 def test_clusters_match_the_sequential_rule(spark, where):
     r = random.Random(str(where))
     lat, lon, wide = where
@@ -123,6 +123,13 @@ def test_clusters_match_the_sequential_rule(spark, where):
     check_clusters(spark, rows)
 
 
+def test_an_endless_stream_is_cut_by_place(spark):
+    """Reports of one type without a pause, over far places and at 70 degrees: each place is a group of its own."""
+    rows = [(f"r{k:04d}", "FIRE", 70.0 + 0.5 * (k % 20), 10.0 + 1.5 * (k % 7), 10.0, T0 + timedelta(minutes=k)) for k in range(1400)]
+    sizes = clustering.cluster_partition(spark.createDataFrame(rows, REPORT)).groupBy("component").count().collect()
+    assert len(sizes) >= 140 and max(r["count"] for r in sizes) <= 10
+
+
 def test_two_hours_and_radius(spark):
     at = lambda k, s: (f"r{k}", "FIRE", 28.6, 77.3, 200.0, T0 + timedelta(seconds=s))
     check_clusters(spark, [at(1, 0), at(2, 7200)])

@@ -20,7 +20,15 @@ def test_reports_file(spark, tmp_path):
     by = {r["id"]: r for r in got}
     assert len(got) == 2 and by["a"]["source_user"] == "u" and by["a"]["ts"] == datetime(2026, 9, 11, 8, 35, 12)
     other = next(r for r in got if r["id"] != "a")
-    assert other["id"].startswith("rep_") and len(other["id"]) == 16 and other["ts"] == datetime(2026, 1, 1)
+    assert other["id"].startswith("rep_") and len(other["id"]) == 36 and other["ts"] == datetime(2026, 1, 1)
+
+
+def test_reports_without_ids_stay_apart(spark):
+    rows = [(None, "u", "same", "t"), (None, "u", "same", "t"), (" ", "u", "same", "t"), ("a", "u", "one", "t"), ("a", "u", "two", "t")]
+    incoming = spark.createDataFrame([(*r, None, None, None, k) for k, r in enumerate(rows)], "id string, source_user string, raw_text string, timestamp string, media_url string, gps_lat double, gps_lon double, k long")
+    load = lambda: sorted((r["id"], r["raw_text"]) for r in reports.load_reports(incoming, spark.createDataFrame([], "id string"), F.lit("2026-01-01").cast("timestamp"), F.col("k")).collect())
+    got = load()
+    assert len(got) == 4 and got == load() and ("a", "one") in got and sum(len(i) == 36 for i, _ in got) == 3
 
 
 def test_intake_reasons(spark):
@@ -42,6 +50,10 @@ def test_seen_ids_keep_the_last_in_order(spark):
 
 def test_snapshots_and_evolution(spark):
     at = reports.write_snapshot({"t": spark.range(3)}, shared_dir(spark, "s"), 2)
+    root = at.removesuffix("/v=2")
+    assert reports.newest_snapshot(spark, root) == at and reports.newest_snapshot(spark, root + "-none") is None
+    spark.range(5).write.parquet(f"{root}/v=3/t")  # not complete: nothing says that it is ready
+    assert reports.newest_snapshot(spark, root) == at
     assert at.endswith("/v=2") and reports.read_snapshot(spark, at, "t").count() == 3
     got = reports.schema_evolve(spark.range(1), {"id": "long", "n": "int", "s": "string"}, {"n": F.lit(0)}).first()
     assert (got["id"], got["n"], got["s"]) == (0, 0, None)

@@ -1,10 +1,11 @@
 """Spatio-temporal clustering of located reports.
 
 The leader rule is sequential: a report joins the nearest open cluster of its type, and the
-cluster's centre moves. It is made parallel exactly: consecutive members of a cluster are at
-most 2 hours and 4.04 km apart, so reports are first cut into inactivity sessions of a type
-and then into groups of neighbouring grid cells; no cluster crosses such a group, and the
-sequential pass runs in each group by itself.
+cluster's centre moves. It is made parallel exactly: a report that may join a cluster is at most 2
+hours and 4.04 km from the cluster's latest member, so reports are cut into groups of neighbouring
+cells of time and place; no cluster crosses such a group, no group sees another's clusters, and the
+sequential pass runs in each group by itself. A group is as long as reports of one type and
+neighbourhood go on without a pause of 2 to 4 hours.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,8 +22,10 @@ from tidewatch.functions import geo
 from tidewatch.operators.components import connected_components
 from tidewatch.sources.storage import ranked, stored
 
-#: Grid cells: their edges are longer than the link distance up to 60 degrees of latitude.
-CELL_LAT, CELL_LON, MAX_CELL_LAT = 0.04, 0.08, 60.0
+#: Edges of grid cells, in degrees. A cell is longer than the link distance: rows are as high everywhere, columns get wider
+#: towards the poles: so many units of CELL_LON up to each latitude. Beyond the last one a hemisphere's cap is one cell.
+CELL_LAT, CELL_LON = 0.04, 0.08
+ZONES = ((60, 1), (75, 2), (85, 6))
 
 
 def cluster_validate(reports: DataFrame) -> DataFrame:
@@ -60,28 +63,49 @@ def inactivity_sessions(reports: DataFrame, gap_s: int = C.CLUSTER_WINDOW_S) ->
     return keyed.join(sessions.select("disaster_type", "minute", "session"), ["disaster_type", "minute"]).drop("minute")
 
 
+def _units(row: Column) -> Column:
+    """Width of a row's columns in units of CELL_LON; null in the caps."""
+    top = F.greatest(F.abs(row), F.abs(row + 1))
+    width = None
+    for lat, units in ZONES:
+        here = top <= round(lat / CELL_LAT)
+        width = F.when(here, units) if width is None else width.when(here, units)
+    return width
+
+
 def cluster_partition(reports: DataFrame) -> DataFrame:
     """Add ``component``: the smallest id of the group that no cluster leaves.
 
-    Groups are connected grid cells of one type and session, so the graph has a node for
-    each occupied cell rather than for each report.
+    Groups are connected cells of one type in time (as long as the link time) and place, so the
+    graph has a node for each occupied cell rather than for each report.
     """
-    high = F.abs(F.col("lat")) > MAX_CELL_LAT  # cells are too narrow there: one cell for all longitudes
-    row = F.when(high, F.signum("lat") * 100_000).otherwise(F.floor(F.col("lat") / CELL_LAT)).cast("long")
     turns = round(360 / CELL_LON)
-    col = F.when(high, -1).otherwise(F.pmod(F.floor((F.col("lon") + 180.0) / CELL_LON), F.lit(turns))).cast("long")
-    celled = inactivity_sessions(reports).withColumns({"row": row, "col": col})
-    cells = stored(celled.groupBy("disaster_type", "session", "row", "col").agg(F.min("id").alias("least")), "cells")
-    top = math.floor(MAX_CELL_LAT / CELL_LAT)
-    plain = F.col("col") >= 0
-    around = F.explode(F.when(plain, F.array(*[F.struct((F.col("row") + a).alias("r"), F.pmod(F.col("col") + b, F.lit(turns)).cast("long").alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1)])))
-    steps = cells.select("disaster_type", "session", F.col("least").alias("a"), around.alias("at")).select("disaster_type", "session", "a", F.col("at.r").alias("row"), F.col("at.c").alias("col"))
-    edges = steps.join(cells, ["disaster_type", "session", "row", "col"]).select("a", F.col("least").alias("b"))
-    caps = cells.filter(~plain).select("disaster_type", "session", F.col("least").alias("a"), F.when(F.col("row") > 0, top).otherwise(-top - 1).alias("edge"))
-    rims = cells.filter(plain).join(caps, ["disaster_type", "session"]).filter(F.abs(F.col("row") - F.col("edge")) <= 1).select("a", F.col("least").alias("b"))
-    roots = connected_components(edges.unionByName(rims))
+    row = F.floor(F.col("lat") / CELL_LAT).cast("long")
+    celled = reports.withColumns({"slot": F.floor(F.unix_micros("ts") / (C.CLUSTER_WINDOW_S * 1_000_000)).cast("long"), "row": row})
+    units = _units(F.col("row"))
+    column = F.pmod(F.floor((F.col("lon") + 180.0) / CELL_LON), F.lit(turns)) / units
+    cap = units.isNull()
+    celled = celled.withColumns({"col": F.when(cap, -1).otherwise(F.floor(column)).cast("long"), "row": F.when(cap, F.signum("lat") * 100_000).otherwise(F.col("row")).cast("long")})
+    place = ["disaster_type", "slot", "row", "col"]
+    cells = stored(celled.groupBy(place).agg(F.min("id").alias("least")), "cells")
+    # Half of the neighbours are enough: later slots, and in the same slot rows above and the next column.
+    other = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(r).alias("r")) for s in (0, 1) for r in ((0, 1) if s == 0 else (-1, 0, 1))]))
+    plain = cells.filter("col >= 0").select(*place, F.col("least").alias("a"), other.alias("o"))
+    plain = plain.withColumns({"mine": _units(F.col("row")), "to": F.col("row") + F.col("o.r")}).withColumn("theirs", _units(F.col("to"))).filter("theirs IS NOT NULL")
+    begin, end = F.col("col") * F.col("mine"), F.col("col") * F.col("mine") + F.col("mine") - 1
+    columns = F.sequence(F.floor(begin / F.col("theirs")) - 1, F.floor(end / F.col("theirs")) + 1)
+    steps = plain.select("disaster_type", (F.col("slot") + F.col("o.s")).alias("slot"), F.col("to").alias("row"), "a", "theirs", F.explode(columns).alias("at"))
+    steps = steps.select("disaster_type", "slot", "row", F.pmod("at", F.lit(turns) / F.col("theirs")).cast("long").alias("col"), "a")
+    edges = steps.join(cells, place).select("a", F.col("least").alias("b"))
+    # A cap touches the last rows of its hemisphere, and itself in the next slot.
+    edge = round(ZONES[-1][0] / CELL_LAT)
+    near = F.explode(F.array(*[F.col("slot") + k for k in (-1, 0, 1)])).alias("slot")
+    caps = cells.filter("col < 0").select("disaster_type", near, F.signum("row").alias("side"), F.col("least").alias("a"))
+    rims = cells.filter((F.col("col") < 0) | (F.col("row") >= edge - 1) | (F.col("row") <= -edge)).withColumn("side", F.when(F.col("row") < 0, -1.0).otherwise(1.0))
+    edges = edges.unionByName(caps.join(rims, ["disaster_type", "slot", "side"]).select("a", F.col("least").alias("b")))
+    roots = connected_components(edges)
     named = cells.join(roots.withColumnRenamed("node", "least"), "least", "left").withColumn("component", F.coalesce("root", "least"))
-    return celled.join(named.select("disaster_type", "session", "row", "col", "component"), ["disaster_type", "session", "row", "col"]).drop("row", "col", "session")
+    return celled.join(named.select(*place, "component"), place).drop("row", "col", "slot")
 
 
 def _distance(lat1: float, lon1: float, lat2: float, lon2: float) -> float:

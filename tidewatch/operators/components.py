@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidewatch.sources.storage import stored
+from tidewatch.sources.storage import discard, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,6 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     no recomputation of earlier ones.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -24,8 +26,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = stored(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         pair = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        now = stored(large.join(least, "a").select(pair.alias("e")).select("e.*").filter("a <> b").distinct(), "small-star")
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b").cast("decimal(38,0)"))).first()
+        small = large.join(least, "a").select(pair.alias("e")).select("e.*").filter("a <> b").distinct()
+        seen = Observation()
+        last, now = now, stored(small.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("s")), "small-star")
+        discard(last, large)
+        state = seen.get
         if state == before:
             break
         before = state

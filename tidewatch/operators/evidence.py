@@ -27,14 +27,14 @@ def report_identities(reports: DataFrame) -> DataFrame:
     return reports.select("id", F.explode(who).alias("identity"))
 
 
-def independent_sources(members: DataFrame) -> DataFrame:
-    """cluster_id, independent_sources: witnesses joined by identities or near-duplicate images.
+def independent_sources(members: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """cluster_id, independent_sources: witnesses joined by identities or near-duplicate images (``image_groups``, if there).
 
     The graph is of identities and image groups, not of reports: a report links the two or
     three it has, so an author with a third of all reports is one node.
     """
     who = F.filter(F.array(text.author(F.col("source_user")), text.repost_origin(F.col("raw_text"))), lambda x: x.isNotNull())
-    images = neardup.image_groups(members).withColumnRenamed("root", "image")
+    images = (images if images is not None else neardup.image_groups(members)).withColumnRenamed("root", "image")
     marked = members.select("cluster_id", F.transform(who, lambda w: F.concat_ws("|", F.col("cluster_id"), F.lit("u"), w)).alias("who"), F.when(neardup.valid_hash(F.col("phash")), F.lower("phash")).alias("phash"))
     keyed = marked.distinct().join(images, ["cluster_id", "phash"], "left").select("cluster_id", F.array_distinct(F.concat("who", F.filter(F.array(F.concat(F.lit("i|"), F.col("image"))), lambda x: x.isNotNull()))).alias("keys"))
     keyed = stored(keyed.distinct(), "witness-keys")
@@ -44,15 +44,21 @@ def independent_sources(members: DataFrame) -> DataFrame:
     return nodes.groupBy("cluster_id").agg(F.count_distinct(F.coalesce("root", "node")).alias("independent_sources"))
 
 
-def corroboration_counts(members: DataFrame, known: DataFrame) -> DataFrame:
+def recycled(members: DataFrame, known: DataFrame) -> DataFrame:
+    """phash, is_old: the images of members that are known from before; stored."""
+    return stored(neardup.recycled_media(members, known).select("phash", F.lit(True).alias("is_old")), "recycled")
+
+
+def corroboration_counts(members: DataFrame, known: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """cluster_id, total_reports, independent_sources, unique_images, recycled_media_detected, duplicate_image_groups.
 
     Media without a hash counts for nothing; recycled counts reports, not images.
     """
-    old = neardup.recycled_media(members, known).select("phash", F.lit(True).alias("is_old"))
+    old = recycled(members, known) if old is None else old
+    images = stored(neardup.image_groups(members), "image-groups")
     flagged = members.withColumn("phash", F.lower("phash")).join(old, "phash", "left")
     totals = flagged.groupBy("cluster_id").agg(F.count("*").alias("total_reports"), F.count_if(F.col("is_old")).alias("recycled_media_detected"))
-    out = totals.join(independent_sources(members), "cluster_id").join(neardup.duplicate_image_groups(members), "cluster_id", "left")
+    out = totals.join(independent_sources(members, images), "cluster_id").join(neardup.duplicate_image_groups(members, images), "cluster_id", "left")
     return out.fillna(0, ["unique_images", "duplicate_image_groups"])
 
 
@@ -81,14 +87,22 @@ def image_analysis_join(media: DataFrame, analyses: DataFrame) -> DataFrame:
     return met.withColumn("analysis", F.when(F.col("phash").isNotNull(), F.coalesce("analysis", failed_analysis("no vision provider configured"))))
 
 
-def image_evidence(members: DataFrame, known: DataFrame) -> DataFrame:
-    """cluster_id, mismatches, analyzed_unique from members with ``analysis``: each image once, recycled ones not."""
-    old = neardup.recycled_media(members, known).select("phash", F.lit(True).alias("is_old"))
+def image_evidence(members: DataFrame, known: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """cluster_id, mismatches, analyzed_unique, n_analyses, image_analyses from members with ``analysis``.
+
+    Each image counts once, by its first member; a recycled one is no mismatch. image_analyses
+    are the analyses themselves, with the report they are of and their phash, in order of reports.
+    """
+    old = recycled(members, known) if old is None else old
     shown = members.filter(F.col("analysis").isNotNull()).withColumn("phash", F.lower("phash"))
-    once = shown.groupBy("cluster_id", F.coalesce("phash", "id").alias("image")).agg(F.min_by(F.struct("phash", "analysis"), _POS("ts", "id")).alias("m")).select("cluster_id", "m.*")
+    first = F.min_by(F.struct("id", "phash", "analysis"), _POS("ts", "id"))
+    once = shown.groupBy("cluster_id", F.coalesce("phash", "id").alias("image")).agg(first.alias("m"), F.min(_POS("ts", "id")).alias("pos")).select("cluster_id", "m.*", "pos")
     met = once.join(old, "phash", "left")
     against = F.col("analysis.analyzed") & F.col("is_old").isNull() & ~F.coalesce(F.col("analysis.supports_text_claim"), F.lit(True))
-    return met.groupBy("cluster_id").agg(F.count_if(against).alias("mismatches"), F.count_if(F.col("analysis.analyzed")).alias("analyzed_unique"), F.count("*").alias("n_analyses"))
+    listed = F.sort_array(F.collect_list(F.struct("pos", F.struct(F.col("id").alias("report_id"), "phash", "analysis").alias("a"))))
+    return met.groupBy("cluster_id").agg(
+        F.count_if(against).alias("mismatches"), F.count_if(F.col("analysis.analyzed")).alias("analyzed_unique"), F.count("*").alias("n_analyses"), F.transform(listed, lambda x: x["a"]).alias("image_analyses")
+    )
 
 
 def geo_agreement(members: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -181,8 +195,9 @@ def build_evidence(members: DataFrame, clusters: DataFrame, known: DataFrame, hi
     """clusters (cluster_id, event_type, center_lat, center_lon) with ``evidence`` and the columns it is made of."""
     if "analysis" not in members.columns:
         members = members.withColumn("analysis", F.lit(None).cast(failed_schema()))
-    parts = clusters.join(corroboration_counts(members, known), "cluster_id").join(denial_flags(members), "cluster_id").join(geo_agreement(members, clusters), "cluster_id")
-    parts = parts.join(image_evidence(members, known), "cluster_id", "left").join(top_landmark(members), "cluster_id", "left")
+    old = recycled(members, known)
+    parts = clusters.join(corroboration_counts(members, known, old), "cluster_id").join(denial_flags(members), "cluster_id").join(geo_agreement(members, clusters), "cluster_id")
+    parts = parts.join(image_evidence(members, known, old), "cluster_id", "left").join(top_landmark(members), "cluster_id", "left")
     texts = neardup.group_duplicate_texts(members).groupBy("cluster_id").agg(F.count_if(F.col("n") > 1).alias("duplicate_text_groups"))
     sides = contradiction_groups(members).groupBy("cluster_id").agg(
         F.sort_array(F.collect_list(F.struct("event_type", "landmark", "affirming_report_ids", "denying_report_ids"))).alias("contradiction_groups")
@@ -199,7 +214,7 @@ def build_evidence(members: DataFrame, clusters: DataFrame, known: DataFrame, hi
     evidence = F.struct(
         "total_reports", "independent_sources", "unique_images", "recycled_media_detected", "geo_agreement", "fresh_media_ratio",
         c("external_hits").alias("external_verification_hits"), "has_contradiction", "duplicate_image_groups", "duplicate_text_groups", "contradiction_groups",
-        risk.alias("misinformation"), scoring.confidence_breakdown(*signals).alias("confidence_breakdown"),
+        F.coalesce("image_analyses", F.array().cast(parts.schema["image_analyses"].dataType)).alias("image_analyses"), risk.alias("misinformation"), scoring.confidence_breakdown(*signals).alias("confidence_breakdown"),
         limitations(c("external_hits"), c("n_analyses"), c("n_analyses") - c("analyzed_unique")).alias("limitations"),
     )
     return parts.withColumn("evidence", evidence).withColumn("confidence", scoring.confidence(*signals))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -98,25 +100,51 @@ def _band_keys(bands: int, rows: int):
     return keys
 
 
-def near_duplicate_lsh(docs: DataFrame, bands: int = 20, rows: int = 5, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """a, b, jaccard: near-duplicate links over the whole corpus by banded min-hash of word shingles.
-
-    A text of ``docs`` (id, text) becomes its set of shingle hashes; each band of the
-    signature is a key. Copies are one set first. In a band's bucket every text is compared
-    with the bucket's first one only, which is linear in the bucket and enough for groups;
-    the verified similarity is exact. Recall follows the band curve (over 0.99 at 0.8).
-    """
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """id, s: sorted distinct hashes of the word shingles of each text of ``docs`` (id, text) that has words."""
     tokens = F.filter(F.split(text.normalize_text(F.col("text")), " "), lambda w: w != "")
     n = F.size("w") - (words - 1)
     shingles = F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("w", i, words)))).otherwise(F.array(F.xxhash64("w"))))
-    sets = docs.select("id", tokens.alias("w")).filter(F.size("w") > 0).select("id", F.sort_array(shingles).alias("s"))
-    sets = stored(sets.groupBy("s").agg(F.min("id").alias("id")), "shingles")
-    keyed = sets.select("id", F.posexplode(_band_keys(bands, rows)(F.col("s"))).alias("band", "key"))
-    heads = keyed.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    pairs = keyed.join(heads, ["band", "key"]).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    return docs.select("id", tokens.alias("w")).filter(F.size("w") > 0).select("id", F.sort_array(shingles).alias("s"))
+
+
+def _jaccard(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, jaccard of those pairs of sets that reach the threshold, stored."""
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return met.withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    return stored(met.withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard"), "alike")
+
+
+def near_duplicate_lsh(docs: DataFrame, bands: int = 20, rows: int = 5, words: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(members, links): near-duplicate classes over the whole corpus by banded min-hash of word shingles.
+
+    members: id, class_id (the smallest id of the class) of every row of ``docs`` (id, text); a
+    text without words is like no other. links: a, b, jaccard of representatives of equal
+    shingle sets, from which the classes follow.
+
+    Each band of a set's signature is a key, and sets that share a key are candidates. Every set
+    is first verified against the smallest of each of its buckets; what these links connect
+    needs no other pair. Buckets that still hold different classes then give all pairs between
+    those, so no candidate is lost: recall is that of the bands (at 0.8, 1 - (1 - 0.8 ** 5) ** 20, over 0.999).
+    """
+    every = stored(_shingle_sets(docs, words), "shingle-sets")
+    sets = stored(every.groupBy("s").agg(F.min("id").alias("id")), "shingles")
+    keyed = stored(sets.select("id", F.posexplode(_band_keys(bands, rows)(F.col("s"))).alias("band", "key")), "bands")
+    heads = keyed.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    met = stored(keyed.join(heads, ["band", "key"]).select("band", "key", "head", "id"), "buckets")
+    star = _jaccard(met.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sets, threshold)
+    placed = met.join(connected_components(star.select("a", "b")).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = stored(placed, "placed")
+    open_ = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "key")
+    # A bucket's smallest set has been compared with all of it.
+    left = stored(placed.filter("id <> head").join(open_, ["band", "key"]).select("band", "key", "id", "root"), "open")
+    other = left.select("band", "key", F.col("id").alias("b"), F.col("root").alias("root_b"))
+    pairs = left.withColumnRenamed("id", "a").join(other, ["band", "key"]).filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))).select("a", "b").distinct()
+    links = stored(star.unionByName(_jaccard(pairs, sets, threshold)), "links")
+    roots = connected_components(links.select("a", "b")).withColumnRenamed("node", "id")
+    named = sets.join(roots, "id", "left").select("s", F.coalesce("root", "id").alias("class_id"))
+    members = docs.select("id").join(stored(every.join(named, "s").select("id", "class_id"), "named"), "id", "left")
+    return members.select("id", F.coalesce("class_id", "id").alias("class_id")), links
 
 
 # ------------------------------------------------------------ images
@@ -140,45 +168,57 @@ def hamming_duplicate(a: Column, b: Column, threshold: int = C.HAMMING_THRESHOLD
     return F.when(valid_hash(a) & valid_hash(b), hamming(a, b) <= threshold)
 
 
+def _keyed(df: DataFrame, name: str, threshold: int) -> DataFrame:
+    """``df`` with the keys (k.which, k.value) of a hash: any three of its bytes.
+
+    Hashes within ``threshold`` bits (5 at most) share at least three of their eight bytes, so such
+    a pair has a key in common; a key has 2 ** 24 values for each choice of three.
+    """
+    if not 0 <= threshold <= 5:
+        raise ValueError("keys of three bytes reach 5 bits at most")
+    at = [F.shiftrightunsigned("bits", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
+    keys = [F.struct(F.lit(n).alias("which"), at[a].bitwiseOR(F.shiftleft(at[b], 8)).bitwiseOR(F.shiftleft(at[c], 16)).alias("value")) for n, (a, b, c) in enumerate(combinations(range(8), 3))]
+    return df.withColumn("bits", hash_bits(F.col(name))).withColumn("k", F.explode(F.array(*keys))).select("*", "k.which", "k.value").drop("k")
+
+
 def phash_similarity_join(hashes: DataFrame, threshold: int = C.HAMMING_THRESHOLD) -> DataFrame:
     """a, b (a < b): all pairs of distinct hashes within ``threshold`` bits.
 
-    Exact: of threshold + 1 bands at least one is equal in such a pair, so bands are keys.
-    ``hashes`` has phash; copies are one hash, so a photo that is everywhere makes one row.
+    Exact, by ``_keyed``. ``hashes`` has phash; copies are one hash, so a photo that is everywhere
+    makes one row.
     """
-    widths = [64 // (threshold + 1) + (k < 64 % (threshold + 1)) for k in range(threshold + 1)]
-    at, bands = 0, []
-    for k, width in enumerate(widths):
-        mask = (1 << width) - 1
-        bands.append(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col("bits"), at).bitwiseAND(F.lit(mask)).alias("value")))
-        at += width
-    distinct = hashes.filter(valid_hash(F.col("phash"))).select(F.lower("phash").alias("phash")).distinct().withColumn("bits", hash_bits(F.col("phash")))
-    keyed = distinct.select("phash", "bits", F.explode(F.array(*bands)).alias("k")).select("phash", "bits", "k.band", "k.value")
-    other = keyed.select("band", "value", F.col("phash").alias("b"), F.col("bits").alias("bits_b"))
-    near = keyed.join(other, ["band", "value"]).filter((F.col("phash") < F.col("b")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b"))) <= threshold))
+    distinct = stored(hashes.filter(valid_hash(F.col("phash"))).select(F.lower("phash").alias("phash")).distinct(), "hashes")
+    keyed = _keyed(distinct, "phash", threshold)
+    other = keyed.select("which", "value", F.col("phash").alias("b"), F.col("bits").alias("bits_b"))
+    near = keyed.join(other, ["which", "value"]).filter((F.col("phash") < F.col("b")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b"))) <= threshold))
     return near.select(F.col("phash").alias("a"), "b").distinct()
 
 
 def media_original_link(media: DataFrame) -> DataFrame:
     """report_id, is_duplicate_of: media of the smallest report among earlier near-duplicates.
 
-    ``media`` has report_id, phash, ts; earlier means in order of (ts, report_id). Only each
-    hash's running smallest report matters, so pairs are of distinct hashes.
+    ``media`` has report_id, phash, ts; earlier means in order of (ts, report_id). Hours are summed
+    up first, by partial aggregation, so a photo that is everywhere is a row for each hour; a report
+    takes the smallest of the hours before its own. In its own hour it looks only at the steps of each near hash's
+    running smallest report: whatever else there is comes after a smaller one.
     """
-    from pyspark.sql import Window as W
-
     rank = F.struct("ts", "report_id")
-    lower = media.filter(valid_hash(F.col("phash"))).select("report_id", "ts", F.lower("phash").alias("phash"))
+    hour = F.floor(F.unix_micros("ts") / 3_600_000_000).cast("long")
+    lower = stored(media.filter(valid_hash(F.col("phash"))).select("report_id", "ts", F.lower("phash").alias("phash"), hour.alias("hour")), "media")
     pairs = stored(phash_similarity_join(lower), "hash-pairs")
     near = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(lower.select(F.col("phash").alias("a"), F.col("phash").alias("b")).distinct())
-    # Steps of each hash's running minimum: the earlier reports that some later one can point to.
-    own = W.partitionBy("phash").orderBy("ts", "report_id").rowsBetween(W.unboundedPreceding, -1)
-    before = F.min("report_id").over(own)
-    steps = lower.withColumn("before", before).filter(F.col("before").isNull() | (F.col("report_id") < F.col("before")))
-    offers = near.join(steps.select(F.col("phash").alias("b"), F.struct("ts", "report_id").alias("rank_b"), F.col("report_id").alias("other")), "b").groupBy("a").agg(F.collect_list(F.struct("rank_b", "other")).alias("offers"))
-    met = lower.join(offers, lower["phash"] == offers["a"], "left")
-    first = F.array_min(F.transform(F.filter("offers", lambda o: o["rank_b"] < rank), lambda o: o["other"]))
-    return met.select("report_id", "phash", F.concat(F.lit("med_"), first).alias("is_duplicate_of"))
+    hourly = stored(lower.groupBy("phash", "hour").agg(F.min("report_id").alias("least")), "hourly")
+    earlier = W.partitionBy("phash").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
+    own = hourly.select("phash", "hour", F.min("least").over(earlier).alias("before"))
+    low = lower.join(own, ["phash", "hour"]).filter(F.col("before").isNull() | (F.col("report_id") < F.col("before")))
+    within = F.min("report_id").over(W.partitionBy("phash", "hour").orderBy("ts", "report_id").rowsBetween(W.unboundedPreceding, -1))
+    steps = low.withColumn("within", within).filter(F.col("within").isNull() | (F.col("report_id") < F.col("within")))
+    around = near.join(hourly.withColumnRenamed("phash", "b"), "b").groupBy(F.col("a").alias("phash"), "hour").agg(F.min("least").alias("least"))
+    before = around.select("phash", "hour", F.min("least").over(earlier).alias("before"))
+    shown = near.join(steps.select(F.col("phash").alias("b"), "hour", rank.alias("step")), "b").select(F.col("a").alias("phash"), "hour", "step")
+    same = lower.join(shown, ["phash", "hour"]).filter(F.col("step") < rank).groupBy("report_id").agg(F.min("step.report_id").alias("same"))
+    met = lower.join(before, ["phash", "hour"]).join(same, "report_id", "left")
+    return met.select("report_id", "phash", F.concat(F.lit("med_"), F.least("before", "same")).alias("is_duplicate_of"))
 
 
 def recycled_media(hashes: DataFrame, known: DataFrame) -> DataFrame:
@@ -186,16 +226,10 @@ def recycled_media(hashes: DataFrame, known: DataFrame) -> DataFrame:
 
     Distinct hashes meet the registry on equal bands, as in ``phash_similarity_join``.
     """
-    base = hashes.filter(valid_hash(F.col("phash"))).select(F.lower("phash").alias("phash")).distinct()
+    base = stored(hashes.filter(valid_hash(F.col("phash"))).select(F.lower("phash").alias("phash")).distinct(), "hashes")
     registry = known.filter(valid_hash(F.col("phash"))).select("source", F.lower("phash").alias("known"))
-    bands = [(k * 11, 11) if k < 4 else (44 + (k - 4) * 10, 10) for k in range(6)]
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        values = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(hash_bits(F.col(name)), at).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for k, (at, w) in enumerate(bands)]
-        return df.withColumn("k", F.explode(F.array(*values))).select("*", "k.band", "k.value").drop("k")
-
-    met = keyed(base, "phash").join(keyed(registry, "known"), ["band", "value"]).filter(hamming(F.col("phash"), F.col("known")) <= C.HAMMING_THRESHOLD)
-    return met.groupBy("phash").agg(F.min("source").alias("matched_source"))
+    met = _keyed(base, "phash", C.HAMMING_THRESHOLD).drop("bits").join(_keyed(registry, "known", C.HAMMING_THRESHOLD).drop("bits"), ["which", "value"])
+    return met.filter(hamming(F.col("phash"), F.col("known")) <= C.HAMMING_THRESHOLD).groupBy("phash").agg(F.min("source").alias("matched_source"))
 
 
 def image_groups(members: DataFrame) -> DataFrame:
@@ -211,8 +245,8 @@ def image_groups(members: DataFrame) -> DataFrame:
     return images.withColumn("node", node("phash")).join(roots, "node", "left").select("cluster_id", "phash", F.coalesce("root", "node").alias("root"))
 
 
-def duplicate_image_groups(members: DataFrame) -> DataFrame:
-    """cluster_id, unique_images, duplicate_image_groups (groups that 2 or more reports show)."""
+def duplicate_image_groups(members: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """cluster_id, unique_images, duplicate_image_groups (groups that 2 or more reports show); ``images``: ``image_groups`` if there."""
     shown = members.filter(valid_hash(F.col("phash"))).select("cluster_id", F.lower("phash").alias("phash"), "id")
-    sizes = shown.join(image_groups(members), ["cluster_id", "phash"]).groupBy("cluster_id", "root").agg(F.count("*").alias("n"))
+    sizes = shown.join(images if images is not None else image_groups(members), ["cluster_id", "phash"]).groupBy("cluster_id", "root").agg(F.count("*").alias("n"))
     return sizes.groupBy("cluster_id").agg(F.count("*").alias("unique_images"), F.count_if(F.col("n") > 1).alias("duplicate_image_groups"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,17 +28,36 @@ def incident_rows(scored: DataFrame, assigned: DataFrame) -> DataFrame:
     return scored.join(assigned, "cluster_id").withColumnRenamed("incident_id", "id").drop("cluster_id")
 
 
-def run_pipeline(reports: DataFrame, known: DataFrame, now: Column, old_incidents: DataFrame | None = None, old_links: DataFrame | None = None, cache: DataFrame | None = None) -> Tables:
-    """``reports``: id, source_user, raw_text, media_url, phash, ts, gps_lat, gps_lon and maybe facts."""
+def check_ids(reports: DataFrame) -> None:
+    """Fail where an id is missing or not a report's own: joins on it would multiply or lose rows."""
+    bad = reports.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 OR id IS NULL OR trim(id) = ''").orderBy("id").limit(5).collect()
+    if bad:
+        raise ValueError("report ids must be there and unique: " + ", ".join(f"{r['id']!r} ({r['n']} rows)" for r in bad))
+
+
+def run_pipeline(
+    reports: DataFrame, known: DataFrame, now: Column, old_incidents: DataFrame | None = None, old_links: DataFrame | None = None, cache: DataFrame | None = None, *,
+    extractor: Callable[[DataFrame], DataFrame] | None = None, results: DataFrame | None = None, analyses: DataFrame | None = None, hits: DataFrame | None = None,
+) -> Tables:
+    """``reports``: id, source_user, raw_text, media_url, phash, ts, gps_lat, gps_lon and maybe facts.
+
+    ``extractor`` adds facts in the place of the rules (as ``extraction.extract_facts`` does). The
+    other tables are what services have answered: ``results`` of a geocoder
+    (``geocode_hits_filter``), ``analyses`` of images (``image_analysis_join``), ``hits`` of a feed
+    (``external_verification``). Without one, incidents say that there was no such answer.
+    """
+    check_ids(reports)
     spark = reports.sparkSession
-    facts = extraction.extract_missing(reports).drop("extracted_now") if "facts" in reports.columns else extraction.extract_facts(reports)
+    extract = extractor or extraction.extract_facts
+    facts = extraction.extract_missing(reports, extract).drop("extracted_now") if "facts" in reports.columns else extract(reports)
     facts = stored(facts, "facts")
-    direct = stored(geolocation.resolve_direct(extraction.relevant_reports(facts), cache), "direct")
+    direct = stored(geolocation.resolve_direct(extraction.relevant_reports(facts), cache, results), "direct")
     located = stored(geolocation.resolve_all(direct, direct=direct).filter("lat IS NOT NULL"), "located")
     flat = located.withColumn("disaster_type", F.col("facts.disaster_type"))
     clusters, member_ids = clustering.cluster_reports(flat)
-    members = stored(member_ids.join(flat, "id").withColumn("event_type", F.col("disaster_type")), "members")
-    scored = stored(evidence.score_cluster(members, clusters.select("cluster_id", "event_type", "center_lat", "center_lon", "uncertainty_radius_m"), known), "scored")
+    members = member_ids.join(flat, "id").withColumn("event_type", F.col("disaster_type"))
+    members = stored(evidence.image_analysis_join(members, analyses) if analyses is not None else members, "members")
+    scored = stored(evidence.score_cluster(members, clusters.select("cluster_id", "event_type", "center_lat", "center_lon", "uncertainty_radius_m"), known, hits), "scored")
     if old_links is None:
         old_links = spark.createDataFrame([], "incident_id string, report_id string, distance_m double, time_delta_s double")
     overlap = stored(incidents.incident_overlap(members, old_links), "overlap")

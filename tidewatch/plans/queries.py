@@ -39,18 +39,22 @@ def us(column: str, name: str | None = None):
 
 
 @query("""
-SELECT id, source_user, ts FROM (
-  SELECT CASE WHEN event_id % 10 = 9 THEN 'rep_' || lpad(CAST(event_id - 1 AS VARCHAR), 8, '0') ELSE id END AS id, source_user, epoch_us(ts) AS ts, event_id,
-    row_number() OVER (PARTITION BY CASE WHEN event_id % 10 = 9 THEN 'rep_' || lpad(CAST(event_id - 1 AS VARCHAR), 8, '0') ELSE id END ORDER BY event_id) AS n
-  FROM reports)
-WHERE n = 1 AND id NOT IN (SELECT id FROM reports WHERE event_id % 3 = 0)
+SELECT made, CASE WHEN made THEN NULL ELSE id END AS id, source_user, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY made, id ORDER BY event_id) AS n FROM (
+    SELECT event_id % 13 = 0 AS made, CASE WHEN event_id % 13 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 10 = 9 THEN 'rep_' || lpad(CAST(event_id - 1 AS VARCHAR), 8, '0') ELSE id END AS id,
+      CASE WHEN event_id % 13 = 0 THEN 'same' ELSE source_user END AS source_user, CASE WHEN event_id % 13 = 0 THEN 0 ELSE epoch_us(ts) END AS ts, event_id FROM reports))
+WHERE n = 1 AND (made OR id NOT IN (SELECT id FROM reports WHERE event_id % 3 = 0))
 """, ("reports",))
 def load_reports(spark, d):
-    base = X.reports(spark, d)
-    doubled = F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("rep_"), F.lpad((F.col("event_id") - 1).cast("string"), 8, "0"))).otherwise(F.col("id"))
-    incoming = base.withColumns({"id": doubled, "timestamp": F.col("ts").cast("string")})
-    out = intake.load_reports(incoming, base.filter("event_id % 3 = 0"), F.lit("2026-01-01").cast("timestamp"), F.col("event_id"))
-    return out.select("id", "source_user", us("ts"))
+    """Every 13th report comes without an id and all these are alike; every 10th repeats the id before it."""
+    base, k = X.reports(spark, d), F.col("event_id")
+    alike = k % 13 == 0
+    doubled = F.when(alike, None).when(k % 10 == 9, F.concat(F.lit("rep_"), F.lpad((k - 1).cast("string"), 8, "0"))).otherwise(F.col("id"))
+    same = {"source_user": "same", "raw_text": "the same text", "media_url": None, "gps_lat": None, "gps_lon": None}
+    incoming = base.withColumns({"id": doubled, "timestamp": F.when(alike, "1970-01-01T00:00:00").otherwise(F.col("ts").cast("string"))} | {c: F.when(alike, v).otherwise(F.col(c)) for c, v in same.items()})
+    out = intake.load_reports(incoming, base.filter("event_id % 3 = 0"), F.lit("2026-01-01").cast("timestamp"), k)
+    made = F.col("id").rlike("^rep_[0-9a-f]{32}$")
+    return out.select(made.alias("made"), F.when(~made, F.col("id")).alias("id"), "source_user", us("ts"))
 
 
 @query("""
@@ -67,21 +71,21 @@ def validate_reports(spark, d):
 
 
 @query("""
-WITH p AS (SELECT 'p' || CAST(event_id % 4000 AS VARCHAR) AS id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE source_user END AS author, CASE WHEN event_id % 13 = 0 THEN '' ELSE raw_text END AS title, '' AS selftext, epoch_us(ts) AS made, event_id,
-  CASE WHEN event_id % 4 = 0 THEN media_url ELSE 'https://x.example/' || id END AS url, CASE WHEN event_id % 6 = 0 THEN 'https://p.example/' || id || '.png' END AS preview FROM reports),
+WITH p AS (SELECT 'p' || CAST(CASE WHEN event_id % 10 = 9 THEN event_id - 1 ELSE event_id END AS VARCHAR) AS id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE source_user END AS author, CASE WHEN event_id % 13 = 0 THEN '' ELSE raw_text END AS title, '' AS selftext, epoch_us(ts) AS made, event_id,
+  CASE WHEN event_id % 4 = 0 THEN media_url ELSE 'https://x.example/' || reports.id END AS url, CASE WHEN event_id % 6 = 0 THEN 'https://p.example/' || reports.id || '.png' END AS preview FROM reports),
 q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY made DESC, title) AS n FROM p WHERE regexp_matches(lower(title), 'flood|collapsed|trapped') AND made >= (SELECT quantile_disc(epoch_us(ts), 0.25) FROM reports))
 SELECT id, 'reddit_u_' || coalesce(author, 'reddit_deleted_user') AS source_user, trim(title) AS raw_text, CASE WHEN regexp_matches(url, '\\.(jpg|jpeg|png|webp)$') THEN url ELSE preview END AS media_url, made AS ts
-FROM q WHERE n = 1 AND trim(title) <> '' AND id NOT IN (SELECT 'p' || CAST(event_id AS VARCHAR) FROM reports WHERE event_id < 1000)
+FROM q WHERE n = 1 AND trim(title) <> '' AND id NOT IN (SELECT 'p' || CAST(event_id AS VARCHAR) FROM reports WHERE event_id % 8 = 0)
 """.replace("\\\\", "\\"), ("reports",))
 def social_posts_to_reports(spark, d):
     k, base = F.col("event_id"), X.reports(spark, d)
     posts = base.select(
-        F.concat(F.lit("p"), (k % 4000).cast("string")).alias("id"), F.when(k % 11 != 0, F.col("source_user")).alias("author"), F.when(k % 13 == 0, "").otherwise(F.col("raw_text")).alias("title"), F.lit("").alias("selftext"),
+        F.concat(F.lit("p"), F.when(k % 10 == 9, k - 1).otherwise(k).cast("string")).alias("id"), F.when(k % 11 != 0, F.col("source_user")).alias("author"), F.when(k % 13 == 0, "").otherwise(F.col("raw_text")).alias("title"), F.lit("").alias("selftext"),
         (F.unix_micros("ts") / 1_000_000).alias("created_utc"), F.when(k % 4 == 0, F.col("media_url")).otherwise(F.concat(F.lit("https://x.example/"), "id")).alias("url"),
         F.struct(F.when(k % 6 == 0, F.array(F.struct(F.struct(F.concat(F.lit("https://p.example/"), "id", F.lit(".png")).alias("url")).alias("source")))).alias("images")).alias("preview"),
     )
     since = base.agg(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY unix_micros(ts))").alias("s")).first()["s"] or 0
-    seen = base.filter("event_id < 1000").select(F.concat(F.lit("p"), k.cast("string")).alias("id"))
+    seen = base.filter("event_id % 8 = 0").select(F.concat(F.lit("p"), k.cast("string")).alias("id"))
     return intake.social_posts_to_reports(posts, seen, ["flood", "collapsed", "trapped"], F.lit(since / 1_000_000)).withColumn("ts", F.unix_micros("ts"))
 
 
@@ -100,22 +104,23 @@ def normalize_timestamp(spark, d):
     return X.reports(spark, d).select("id", F.unix_micros(intake.normalize_timestamp(said)).alias("utc"))
 
 
-@query()
+@query("SELECT DISTINCT 'archive_' || phash AS source, phash FROM reports WHERE phash IS NOT NULL", ("reports",))
 def load_known_hashes(spark, d):
-    """The registry written as a JSON file and loaded again."""
+    """A registry of all images, written as a JSON file and loaded again."""
     from tidewatch.sources.storage import shared_dir
 
     path = shared_dir(spark, "registry")
-    rows = X.known_hashes(spark, d).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("source", "phash")))).alias("value"))
+    shown = X.reports(spark, d).filter("phash IS NOT NULL").select(F.concat(F.lit("archive_"), "phash").alias("source"), "phash").distinct()
+    rows = shown.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("source", "phash")))).alias("value"))
     rows.write.text(path)
     return intake.load_known_hashes(spark, path)
 
 
-@query()
+@query("SELECT id, epoch_us(ts) AS ts, CAST(0 AS INTEGER) AS external_hits, false AS has_contradiction FROM reports", ("reports",))
 def schema_evolve(spark, d):
     """Old rows without the later columns, read with their defaults."""
     old = X.reports(spark, d).select("id", "ts")
-    return intake.schema_evolve(old, {"id": "string", "ts": "timestamp", "external_hits": "int", "has_contradiction": "boolean"}, {"external_hits": F.lit(0), "has_contradiction": F.lit(False)})
+    return intake.schema_evolve(old, {"id": "string", "ts": "timestamp", "external_hits": "int", "has_contradiction": "boolean"}, {"external_hits": F.lit(0), "has_contradiction": F.lit(False)}).withColumn("ts", F.unix_micros("ts"))
 
 
 # ------------------------------------------------------------ extraction
@@ -381,12 +386,13 @@ def inactivity_sessions(spark, d):
 
 
 @query("""
-WITH cells AS (SELECT disaster_type, session, CAST(floor(lat / 0.04) AS BIGINT) AS r, CAST(floor((lon + 180) / 0.08) AS BIGINT) AS c, min(id) AS least FROM sessions GROUP BY ALL),
-edges AS (SELECT a.least AS a, b.least AS b FROM cells a JOIN cells b ON a.disaster_type = b.disaster_type AND a.session = b.session AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+WITH placed AS (SELECT id, disaster_type, epoch_us(ts) // 7200000000 AS slot, CAST(floor(lat / 0.04) AS BIGINT) AS r, CAST(floor((lon + 180) / 0.08) AS BIGINT) AS c FROM located),
+cells AS (SELECT disaster_type, slot, r, c, min(id) AS least FROM placed GROUP BY ALL),
+edges AS (SELECT a.least AS a, b.least AS b FROM cells a JOIN cells b ON a.disaster_type = b.disaster_type AND abs(a.slot - b.slot) <= 1 AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
 reach AS (SELECT least AS node, least AS seen FROM cells UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.seen = edges.a),
 roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)
-SELECT s.id, root AS component FROM sessions s JOIN cells x ON s.disaster_type = x.disaster_type AND s.session = x.session AND CAST(floor(s.lat / 0.04) AS BIGINT) = x.r AND CAST(floor((s.lon + 180) / 0.08) AS BIGINT) = x.c JOIN roots ON roots.node = x.least
-""", ("sessions",), recursive=True)
+SELECT p.id, root AS component FROM placed p JOIN cells x USING (disaster_type, slot, r, c) JOIN roots ON roots.node = x.least
+""", ("located",), recursive=True)
 def cluster_partition(spark, d):
     return clustering.cluster_partition(X.located(spark, d)).select("id", "component")
 
@@ -438,7 +444,7 @@ def near_duplicate_pairs(spark, d):
 @query()
 def near_duplicate_lsh(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    return neardup.near_duplicate_lsh(docs)
+    return neardup.near_duplicate_lsh(docs)[0]
 
 
 @query()
@@ -572,10 +578,12 @@ analysed AS (SELECT m.cluster_id, m.id, m.ts, m.phash, an.k, an.k % 5 <> 1 AND a
 
 
 @query(f"""WITH {_ANALYSED}, old AS (SELECT DISTINCT m.phash FROM members m JOIN known k ON {_BITS.format(a='m.phash', b='k.phash')} <= 5 WHERE m.phash IS NOT NULL),
-once AS (SELECT cluster_id, phash, bool_or(analyzed) AS analyzed, bool_or(against) AS against FROM analysed GROUP BY cluster_id, phash)
-SELECT cluster_id, count(*) FILTER (WHERE against AND phash NOT IN (SELECT phash FROM old)) AS mismatches, count(*) FILTER (WHERE analyzed) AS analyzed_unique, count(*) AS n_analyses FROM once GROUP BY cluster_id""", ("members", "known"))
+once AS (SELECT cluster_id, phash, bool_or(analyzed) AS analyzed, bool_or(against) AS against, first(id ORDER BY ts, id) AS first_id, min(ts) AS first_ts FROM analysed GROUP BY cluster_id, phash)
+SELECT cluster_id, count(*) FILTER (WHERE against AND phash NOT IN (SELECT phash FROM old)) AS mismatches, count(*) FILTER (WHERE analyzed) AS analyzed_unique, count(*) AS n_analyses,
+  string_agg(first_id || CASE WHEN analyzed THEN '+' ELSE '-' END, ',' ORDER BY first_ts, first_id) AS image_analyses FROM once GROUP BY cluster_id""", ("members", "known"))
 def image_evidence(spark, d):
-    return evidence.image_evidence(stored(_analysed(spark, d), "analysed"), X.known_hashes(spark, d))
+    said = F.transform("image_analyses", lambda a: F.concat(a["report_id"], F.when(a["analysis"]["analyzed"], "+").otherwise("-")))
+    return evidence.image_evidence(stored(_analysed(spark, d), "analysed"), X.known_hashes(spark, d)).withColumn("image_analyses", F.array_join(said, ","))
 
 
 @query(f"WITH {_ANALYSED} SELECT id, analyzed FROM analysed", ("members",))
@@ -905,12 +913,14 @@ def run_pipeline(spark, d):
     return again.incidents.select("id", "event_type", "title", "severity_score", "confidence_score", "verification_status", "action_priority", "responder_state")
 
 
-@query()
+@query(f"WITH {_INCIDENTS} SELECT incident_id, count(*) AS n_links, any_value(title) AS title FROM links JOIN incidents ON incidents.id = links.incident_id GROUP BY incident_id", ("members",))
 def write_tables(spark, d):
-    """A snapshot of incidents and links, written and read back."""
+    """A snapshot of incidents and links, written, published and read back as the newest one."""
     from tidewatch.sources.storage import shared_dir
 
-    at = intake.write_snapshot({"incidents": _incidents(spark, d), "links": _links(spark, d)}, shared_dir(spark, "snapshot"), 1)
+    root = shared_dir(spark, "snapshot")
+    intake.write_snapshot({"incidents": _incidents(spark, d), "links": _links(spark, d)}, root, 1)
+    at = intake.newest_snapshot(spark, root)
     return intake.read_snapshot(spark, at, "links").groupBy("incident_id").agg(F.count("*").alias("n_links")).join(intake.read_snapshot(spark, at, "incidents").select(F.col("id").alias("incident_id"), "title"), "incident_id")
 
 
@@ -1096,11 +1106,12 @@ def stream_extract(spark, d):
     return _run(spark, extract(_as_stream(spark, X.reports(spark, d)))).select("id", F.col("facts.disaster_type").alias("disaster_type"), F.col("facts.landmark").alias("landmark"))
 
 
-@query()
+@query("SELECT disaster_type, epoch_us(session) AS first_ts, epoch_us(max(ts)) AS last_ts, count(*) AS n FROM sessions GROUP BY disaster_type, session", ("sessions",))
 def stream_sessions(spark, d):
     from tidewatch.streaming.incidents import stream_sessions as sessions
 
-    return _run(spark, sessions(_as_stream(spark, X.located(spark, d).select("disaster_type", "ts"), end={"disaster_type": "END"}), "1 minute")).filter("disaster_type <> 'END'")
+    out = _run(spark, sessions(_as_stream(spark, X.located(spark, d).select("disaster_type", "ts"), end={"disaster_type": "END"}), "1 minute")).filter("disaster_type <> 'END'")
+    return out.select("disaster_type", us("first_ts"), us("last_ts"), "n")
 
 
 @query()

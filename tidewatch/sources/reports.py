@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,13 +26,15 @@ def normalize_timestamp(value: Column) -> Column:
 def load_reports(incoming: DataFrame, stored: DataFrame, now: Column, order: Column | None = None) -> DataFrame:
     """Rows of ``incoming`` to insert: ids not stored yet, the first of each id in ``order``.
 
-    A missing id is made from the row's content, so a second run makes the same one; a
-    missing time is ``now``.
+    A missing or blank id is made from the row's content and its place in ``order`` (if none is given, its
+    place in the input), so that equal reports stay apart and a second run over the same input makes the same ids.
+    A missing time is ``now``.
     """
-    content = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_user", "raw_text", "media_url", "timestamp", "gps_lat", "gps_lon")])
-    named = incoming.withColumn("id", F.coalesce("id", F.concat(F.lit("rep_"), F.substring(F.sha2(content, 256), 1, 12))))
-    first = F.row_number().over(W.partitionBy("id").orderBy(order if order is not None else F.monotonically_increasing_id()))
-    once = named.withColumn("tw_n", first).filter("tw_n = 1").drop("tw_n").join(stored.select("id"), "id", "left_anti")
+    fields = ("source_user", "raw_text", "media_url", "timestamp", "gps_lat", "gps_lon")
+    placed = incoming.withColumn("tw_place", order if order is not None else F.monotonically_increasing_id())
+    content = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*fields, "tw_place")])
+    named = placed.withColumn("id", F.coalesce(F.when(text.strip(F.col("id")) != "", F.col("id")), F.concat(F.lit("rep_"), F.substring(F.sha2(content, 256), 1, 32))))
+    once = named.groupBy("id").agg(F.min_by(F.struct(*fields), "tw_place").alias("row")).select("id", "row.*").join(stored.select("id"), "id", "left_anti")
     return once.withColumn("ts", F.coalesce(normalize_timestamp(F.col("timestamp")), now)).select("id", "source_user", "raw_text", "media_url", "ts", "gps_lat", "gps_lon")
 
 
@@ -56,7 +59,7 @@ def image_url(url: Column, preview: Column) -> Column:
 def social_posts_to_reports(posts: DataFrame, seen: DataFrame, keywords: list[str], since: Column) -> DataFrame:
     """Posts that name a keyword, are recent and new, as reports; each id once, empty texts not."""
     body = text.strip(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("selftext", F.lit(""))))
-    wanted = F.lower(F.concat_ws(" ", "title", "selftext")).rlike("|".join(k.lower() for k in keywords))
+    wanted = F.lower(F.concat_ws(" ", "title", "selftext")).rlike("|".join("\\Q" + k.lower().replace("\\E", "") + "\\E" for k in keywords))
     newest = F.row_number().over(W.partitionBy("id").orderBy(F.desc("created_utc"), "title"))
     recent = posts.filter(wanted & (F.col("created_utc") >= since)).withColumn("tw_n", newest).filter("tw_n = 1")
     picked = recent.withColumn("raw_text", body).filter("raw_text <> ''").join(seen.select("id"), "id", "left_anti")
@@ -82,14 +85,27 @@ def load_known_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, version: int) -> str:
-    """Write each table to ``root/v=version/name``; the folder is complete when ``ready`` is there."""
+    """Write each table to ``root/v=version/name``; the version is published by its ``ready`` table, written last."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/v={version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version, sorted(tables))], "version int, tables array<string>").coalesce(1).write.mode("overwrite").parquet(f"{root}/v={version}/ready")
+    ready = spark.createDataFrame([(version, sorted(tables))], "version int, tables array<string>")
+    ready.coalesce(1).write.mode("overwrite").parquet(f"{root}/ready/v={version}")
     return f"{root}/v={version}"
 
 
+def newest_snapshot(spark: SparkSession, root: str) -> str | None:
+    """The folder of the newest version that is complete; none: None. A version without its ``ready`` table is passed over."""
+    found = spark.read.schema("version int").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.parquet")
+    try:
+        newest = found.parquet(f"{root}/ready").agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if newest is None else f"{root}/v={newest}"
+
+
 def read_snapshot(spark: SparkSession, at: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{at}/{name}")
 
