@@ -43,6 +43,8 @@ MAGIC = b"TWPLANE1"
 BLOCK_IDS = 65_536
 #: Words kept by a Python worker; the whole cache goes when it is full.
 CACHE_WORDS = 700_000
+#: What a shard holds on average at most, so that its index, one document table, stays small.
+SHARD_BYTES, SHARD_DOCS = 1 << 28, 1_000_000
 
 # ---------------------------------------------------------------- planes
 
@@ -219,14 +221,19 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | N
     """Encode ``docs`` (doc_id, text) and write shards in ascending doc_id order to ``out``.
 
     One shuffle deals the documents by doc_id range; each task then encodes and writes
-    its shard as the rows stream by. Returns the committed index: shard, file, n_docs,
-    n_ids, start (ids in all shards before it).
+    its shard as the rows stream by. There are as many shards as the session has shuffle
+    partitions, or more where they would hold more than ``SHARD_BYTES`` of text or ``SHARD_DOCS``
+    documents on average. Returns the committed index: shard, file, n_docs, n_ids, start (ids in all
+    shards before it).
     """
+    if shards is None:
+        size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+        shards = max(common.parallelism(docs), -(-(size["b"] or 0) // SHARD_BYTES), -(-size["n"] // SHARD_DOCS))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tw_h")]
     dealt = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .withColumn("tw_h", F.xxhash64("text"))
-        .repartitionByRange(shards or common.parallelism(docs), *order)
+        .repartitionByRange(shards, *order)
         .sortWithinPartitions(*order)
         .select("doc_id", "text", F.spark_partition_id().alias("shard"))
     )
