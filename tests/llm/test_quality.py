@@ -53,6 +53,29 @@ def test_moments_match_numpy(spark, docs):
     assert model.parts[1][0] == pytest.approx((good.mean(axis=0) - x.mean(axis=0)) / np.where(x.std(axis=0) > 1e-6 * (1 + abs(x.mean(axis=0))), x.std(axis=0), 1.0), abs=1e-6)
 
 
+def test_scores_against_brute_force(spark, docs):
+    """The discriminant written out with whole covariance matrices, their inverses and determinants."""
+    texts, y = make(150, seed=4)
+    labels = spark.createDataFrame(list(enumerate(y, 1)), "doc_id long, quality int")
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality_model.classify(docs(texts), labels).collect()}
+    x = np.array([quality_model.statistics(t) for t in texts])
+    use = np.array([zlib.crc32(str(k + 1).encode()) % 5 != 0 for k in range(150)])
+    mean, std = x[use].mean(axis=0), x[use].std(axis=0)
+    z = (x - mean) / np.where(std > 1e-6 * (1 + abs(mean)), std, 1.0)
+    own = {c: z[use & (np.array(y) == c)] for c in (0, 1)}
+    cov = {c: np.cov(v.T, bias=True) for c, v in own.items()}
+    pooled = sum(len(own[c]) * cov[c] for c in own) / use.sum()
+    log = {}
+    for c in own:
+        s = (1 - quality_model.SHRINK_POOLED - quality_model.SHRINK_SPHERE) * cov[c] + quality_model.SHRINK_POOLED * pooled
+        s = s + (quality_model.SHRINK_SPHERE * np.trace(pooled) / z.shape[1] + 1e-6) * np.eye(z.shape[1])
+        d = z - own[c].mean(axis=0)
+        log[c] = -0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1] + np.log(len(own[c]) / use.sum())
+    want = 1 / (1 + np.exp(-np.clip(log[1] - log[0], -60, 60)))
+    assert np.array([got[k + 1][0] for k in range(150)]) == pytest.approx(want, abs=1e-6)
+    assert [got[k + 1][1] for k in range(150)] == [int(w >= 0.3) for w in want]
+
+
 def test_edges_of_the_classifier(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     rows = quality_model.classify(docs([None, "", "text"], ids=[1, None, 3]), none).collect()

@@ -160,7 +160,9 @@ def train(stats: DataFrame, labels: DataFrame) -> Model:
             at = np.arange(m.size)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, c)), pa.array(at), pa.array(m.reshape(-1))], names=["y", "at", "v"])
 
-    summed = rows.mapInArrow(partial, "y long, at long, v double").groupBy("y", "at").agg(F.sum("v").alias("v"))
+    # Whole numbers of 2 ** -40 add up the same in any order of tasks.
+    unit = float(1 << 40)
+    summed = rows.mapInArrow(partial, "y long, at long, v double").groupBy("y", "at").agg((F.sum((F.col("v") * unit).cast("decimal(38,0)")).cast("double") / unit).alias("v"))
     moments: dict[int, np.ndarray] = {}
     for r in summed.collect():  # 2 * (d + 1)^2 numbers
         moments.setdefault(r["y"], np.zeros((d + 1) ** 2))[r["at"]] = r["v"]
