@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.llm import topk
@@ -36,3 +37,26 @@ def test_unusable_and_few(spark):
 def test_large_components(spark):
     rows = [(0, [3e6, 1e6]), (1, [2e6, -1e6]), (2, [1e6, 5e5]), (3, [1e-3, 9e5])]
     assert found(spark, rows) == brute(rows)
+
+
+def test_many_cells(spark, monkeypatch):
+    """Several rows and columns of the grid, and more than one tile in a cell."""
+    r = random.Random(7)
+    rows = [(i, [r.choice([-1.5, -0.5, 0.25, 0.75, 2.0]) for _ in range(4)]) for i in range(240)]
+    want = brute(rows, 5)
+    for queries, candidates, columns in ((17, 31, 1), (200, 50, 1), (11, 1000, 3)):
+        monkeypatch.setattr(topk, "QUERIES_EACH", queries)
+        monkeypatch.setattr(topk, "CANDIDATES_EACH", candidates)
+        monkeypatch.setattr(topk, "LEAST_COLUMNS", columns)
+        assert found(spark, rows, 5) == want
+
+
+def test_tiles_cover_a_cell(monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES_EACH", 7)
+    monkeypatch.setattr(topk, "TILE", 20)
+    q, c = np.arange(10.0).reshape(5, 2), np.arange(40.0).reshape(20, 2)
+    got = np.zeros((5, 20))
+    for i, s, j in topk._tiles(q, c):
+        assert s.size <= 20
+        got[i : i + len(s), j : j + s.shape[1]] += s
+    assert (got == q @ c.T).all()
