@@ -35,6 +35,34 @@ def test_ids_are_those_of_the_library(texts):
         assert m.decode(ids, m.offsets(ids)) == t.encode()
 
 
+@pytest.mark.parametrize("piece", [1, 2, 7, 40])
+def test_scans_in_pieces_are_those_of_the_whole(piece, monkeypatch):
+    r = np.random.default_rng(piece)
+    texts = ["".join(r.choice(list(ALPHABET), r.integers(0, 90))) for _ in range(150)]
+    monkeypatch.setattr(byte_bpe, "SCAN_CHARS", piece)
+    points = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le"), "<u4")
+    stops = np.cumsum([len(t) + 1 for t in texts]) - 1
+    got = byte_bpe.boundaries(points, stops)
+    monkeypatch.setattr(byte_bpe, "SCAN_CHARS", 1 << 20)
+    assert got.tolist() == byte_bpe.boundaries(points, stops).tolist()
+    monkeypatch.setattr(byte_bpe, "SCAN_CHARS", piece)
+    for t, ids in zip(texts[:40], byte_bpe.merger(PATH).encode(texts[:40]), strict=True):
+        assert ids.tolist() == LIBRARY.encode_ordinary(t)
+
+
+def test_scratch_of_a_long_text_is_bounded():
+    import tracemalloc
+
+    text = "some words of a long text, it's all the same to it 12 times over. " * 100_000
+    points, stops = np.frombuffer((text + "\0").encode("utf-32-le"), "<u4"), np.array([len(text)])
+    byte_bpe.class_table()
+    tracemalloc.start()
+    byte_bpe.boundaries(points, stops)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 * len(text)
+
+
 @pytest.mark.parametrize("text", ["a" * 3000, "ab" * 900, "!" * 1500, " " * 2000, "日本" * 300, "x" * 101, "'s" * 200, "\n" * 99 + "a"])
 def test_long_pieces(library, text):
     assert byte_bpe.merger(PATH).encode([text])[0].tolist() == library.encode_ordinary(text)

@@ -134,8 +134,20 @@ def boundaries(points: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Starts of all matches in ``points``, code points of texts that each end in a stop.
 
     ``stops`` holds the places of the stops (any code point), in order; they are among
-    the result, so consecutive starts that don't cross a stop bound one match.
+    the result, so consecutive starts that don't cross a stop bound one match. Long input is scanned in
+    pieces of ``SCAN_CHARS`` that hand the composition of all before them on, so scratch space is bounded.
     """
+    found, before = [], 0
+    for at in range(0, len(points), SCAN_CHARS):
+        n = min(SCAN_CHARS, len(points) - at)
+        first, last = np.searchsorted(stops, (at, at + n + 2))
+        starts, before = _scan(points[at : at + n + 2], stops[first:last] - at, n, before)
+        found.append(starts + at)
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def _scan(points: np.ndarray, stops: np.ndarray, n: int, before: int) -> tuple[np.ndarray, int]:
+    """Starts in the first ``n`` of ``points`` (up to two more are looked at), and the function of all so far."""
     kinds = class_table()[points]
     kinds[stops] = STOP
     symbols = kinds.copy()
@@ -153,24 +165,25 @@ def boundaries(points: np.ndarray, stops: np.ndarray) -> np.ndarray:
         long &= np.append(kinds, [STOP, STOP])[quotes + 2] != STOP
         symbols[quotes[short]] = QUOTE_2
         symbols[quotes[long]] = QUOTE_3
-    n = len(symbols)
+    symbols = symbols[:n]
     width = max(1, int(np.sqrt(n) / 4))
     blocks = -(-n // width)
     grid = np.full(blocks * width, STOP, np.uint8)
     grid[:n] = symbols
     grid = np.ascontiguousarray(grid.reshape(blocks, width).T)  # step k of all blocks is one row
     functions = SYMBOL_FUNCTION[grid]
+    functions[n - (blocks - 1) * width :, -1] = 0  # what fills the last block changes no state
     prefix = np.empty((width, blocks), np.uint16)  # composition of what stands before, in the block
     total = np.zeros(blocks, np.uint16)
     for k in range(width):
         prefix[k] = total
         total = COMPOSE[total, functions[k]]
-    carry, before = np.zeros(blocks, np.uint16), 0
+    carry = np.zeros(blocks, np.uint16)
     for b in range(blocks):
         carry[b] = before
         before = COMPOSE[before, total[b]]
     states = FROM_START[COMPOSE[carry[None, :], prefix]]
-    return np.flatnonzero(BEGINS[states, grid].T.reshape(-1)[:n])
+    return np.flatnonzero(BEGINS[states, grid].T.reshape(-1)[:n]), int(before)
 
 
 # ------------------------------------------------------------ pair merging
@@ -270,10 +283,11 @@ class Merger:
         starts = boundaries(points, stops)
         ends = np.append(starts[1:], len(points))
         cuts = np.searchsorted(starts, stops)
-        starts, ends, get = starts.tolist(), ends.tolist(), self.pieces.__getitem__
+        get, some = self.pieces.__getitem__, max(1, SCAN_CHARS // 8)
         out, first = [], 0
         for cut in cuts.tolist():
-            ids = b"".join([get(joined[a:b]) for a, b in zip(starts[first:cut], ends[first:cut])])
+            runs = (slice(k, min(k + some, cut)) for k in range(first, cut, some))
+            ids = b"".join([b"".join([get(joined[a:b]) for a, b in zip(starts[run].tolist(), ends[run].tolist())]) for run in runs])
             out.append(np.frombuffer(ids, "<u4"))
             first = cut + 1  # the stop itself is no piece
         return out
