@@ -110,6 +110,15 @@ def test_rule_counts(spark, docs):
     assert quality_rules.judge(docs([]), ["doc_id"]).count() == 0
 
 
+def test_repeats_are_exact_where_hashes_collide(spark, docs):
+    """With hashes of one, three or all values, the counts are those of the words."""
+    r = random.Random(6)
+    texts = [*RULE_TEXTS, *(" ".join(r.choice("ab") for _ in range(r.randint(8, 300))) for _ in range(12))]
+    for weak in (lambda w: F.lit(1).cast("long"), lambda w: F.pmod(F.xxhash64(w), F.lit(3)), F.xxhash64):
+        rows = {x["doc_id"]: x["n_repeat_words"] for x in quality_rules.measures(docs(texts), ["doc_id"], weak).collect()}
+        assert [rows[k + 1] for k in range(len(texts))] == [plain_counts(t)[4] for t in texts]
+
+
 def test_verdicts(spark, docs):
     r = random.Random(3)
     prose = " ".join(r.choice(["the", "of", "river", "stone", "walked", "quietly", "morning", "and"]) for _ in range(80))

@@ -13,6 +13,8 @@ columns are passed over.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +49,12 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and the counts of its text, each a long."""
+def measures(docs: DataFrame, keep: list[str], window_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """``keep`` columns of ``docs`` and the counts of its text, each a long.
+
+    Windows of words are sorted by ``window_hash``. Neighbours of one hash are compared by their
+    words; a text where some differ has its windows sorted by hash and words, so counts are exact.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words, lines = F.col("tw_words"), F.col("tw_lines")
     base = docs.select(*keep, text.alias("tw_text")).withColumns({
@@ -56,14 +62,19 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         "tw_lines": F.filter(F.split("tw_text", "\n"), lambda x: x.rlike("[^ \\t-\\r]")),
     })
     n_windows = F.size(words) - (WINDOW - 1)
-    # A window is known by the 64-bit hash that chains its words' hashes.
-    hashes = F.when(n_windows > 1, F.transform(F.sequence(F.lit(1), n_windows), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+    hashes = F.when(n_windows > 1, F.transform(F.sequence(F.lit(1), n_windows), lambda i: window_hash(F.slice(words, i, WINDOW))))
     hashed = base.withColumn("tw_hashes", hashes)
     places = F.transform("tw_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     repeats = F.size(F.array_distinct("tw_hashes")) < F.size("tw_hashes")
     sorted_ = hashed.withColumn("tw_sorted", F.when(repeats, F.sort_array(places)))
+    window = lambda e: F.slice(words, e["i"] + 1, WINDOW)
+    other = lambda e, i: (F.get("tw_sorted", i - 1)["h"] == e["h"]) & (window(F.get("tw_sorted", i - 1)) != window(e))
+    collide = F.size(F.filter("tw_sorted", other)) > 0
+    worded = F.when(collide, F.sort_array(F.transform("tw_sorted", lambda e: F.struct(e["h"].alias("h"), window(e).alias("w"), e["i"].alias("i")))))
+    sorted_ = sorted_.withColumn("tw_worded", worded)
     met = F.filter("tw_sorted", lambda e, i: (F.get("tw_sorted", i - 1)["h"] == e["h"]) | (F.get("tw_sorted", i + 1)["h"] == e["h"]))
-    starts = F.sort_array(F.transform(met, lambda e: e["i"]))
+    same = F.filter("tw_worded", lambda e, i: (F.get("tw_worded", i - 1)["w"] == e["w"]) | (F.get("tw_worded", i + 1)["w"] == e["w"]))
+    starts = F.sort_array(F.when(F.col("tw_worded").isNull(), F.transform(met, lambda e: e["i"])).otherwise(F.transform(same, lambda e: e["i"])))
     covered = F.aggregate(
         starts,
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
