@@ -33,7 +33,7 @@ def plain(v):
     return v
 
 
-SAMPLE = ["extract_facts", "validate_extraction", "geocode_hits_filter", "resolve_all", "cluster_partition", "corroboration_counts", "list_incidents", "responder_transition", "social_posts_to_reports", "geo_agreement", "load_reports", "load_known_hashes", "schema_evolve", "write_tables", "stream_sessions", "image_evidence", "media_original_link", "recycled_media"]
+SAMPLE = ["extract_facts", "validate_extraction", "geocode_hits_filter", "resolve_all", "cluster_partition", "corroboration_counts", "list_incidents", "responder_transition", "social_posts_to_reports", "geo_agreement", "load_reports", "load_known_hashes", "schema_evolve", "write_tables", "stream_sessions", "image_evidence", "media_original_link", "recycled_media", "score_cluster"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)

@@ -767,9 +767,28 @@ def _scored(spark, d):
     return evidence.score_cluster(m, _centred(m), X.known_hashes(spark, d), _feed(spark, d))
 
 
-@query()
+_JUDGED = f"""{_COUNTS}, {_CENTRES}, {_TITLED},
+agree AS (SELECT m.cluster_id, {_AGREE} AS g FROM members m JOIN centres c ON m.cluster_id = c.cluster_id GROUP BY m.cluster_id),
+sev AS (SELECT cluster_id, max(raw_severity) AS severity, bool_or({_DENIES}) AND count(*) >= 2 AS c, CAST(coalesce(max(trapped_count), 0) AS INTEGER) AS estimated_trapped_total, count(trapped_count) AS confirmed_by_sources FROM members GROUP BY cluster_id),
+signals AS (SELECT x.*, x.independent_sources AS s, a.g, sev.*, t.title, o.landmark,
+  CASE WHEN unique_images > 0 THEN round_even(greatest(0, unique_images - recycled_media_detected) / unique_images, 4) ELSE 0.0 END::DOUBLE AS m,
+  CASE WHEN length(o.landmark) % 6 - 1 >= 0 THEN CAST(least(3, length(o.landmark) % 6 - 1) AS INTEGER) END AS h
+  FROM corroboration x JOIN agree a ON a.cluster_id = x.cluster_id JOIN sev ON sev.cluster_id = x.cluster_id JOIN titled t ON t.cluster_id = x.cluster_id LEFT JOIN top o ON o.cluster_id = x.cluster_id),
+judged AS (SELECT *, {_CONFIDENCE} AS sure FROM signals)"""
+
+
+@query(f"""WITH {_JUDGED}
+SELECT j.cluster_id, c.event_type, title, round(c.center_lat, 7) AS center_lat, round(c.center_lon, 7) AS center_lon, c.uncertainty_radius_m, round_even(severity, 2) AS severity_score, round_even(sure, 2) AS confidence_score,
+  CASE WHEN j.c THEN 'CONTRADICTED' WHEN s >= 3 AND sure >= 70 THEN 'CORROBORATED' ELSE 'DEVELOPING' END AS verification_status, {_PRIORITY.format(s='severity', c='sure')} AS action_priority,
+  total_reports, independent_sources, unique_images, recycled_media_detected, duplicate_image_groups, g AS geo_agreement, m AS fresh_media_ratio, h AS external_verification_hits, j.c AS has_contradiction,
+  estimated_trapped_total, confirmed_by_sources FROM judged j JOIN centres c ON c.cluster_id = j.cluster_id""", ("members", "known"), recursive=True)
 def score_cluster(spark, d):
-    return _scored(spark, d)
+    """All fields but lists and texts, which have queries of their own."""
+    counts = ["total_reports", "independent_sources", "unique_images", "recycled_media_detected", "duplicate_image_groups", "geo_agreement", "fresh_media_ratio", "external_verification_hits", "has_contradiction"]
+    return _scored(spark, d).select(
+        "cluster_id", "event_type", "title", F.round("center_lat", 7).alias("center_lat"), F.round("center_lon", 7).alias("center_lon"), "uncertainty_radius_m", "severity_score", "confidence_score",
+        "verification_status", "action_priority", *[f"evidence.{c}" for c in counts], "aggregated_needs.estimated_trapped_total", "aggregated_needs.confirmed_by_sources",
+    )
 
 
 # ------------------------------------------------------------ incidents
