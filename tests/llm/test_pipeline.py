@@ -95,3 +95,33 @@ def test_run_and_empty(spark, steps):
     for _, stage in corpus_pipeline.STAGES:
         table = common.stored(stage(spark, table.withColumn("extra", F.lit(1)) if "extra" not in table.columns else table, SF), "empty")
     assert table.count() == 0
+
+
+def test_nulls_repeats_and_clashing_names(spark, docs):
+    r = __import__("random").Random(2)
+    prose = lambda k: " ".join(r.choice(["the", "of", "river", "stone", "walked", "quietly", "morning", "and", "fields", "small"]) + r.choice(["", "", "s"]) for _ in range(k))
+    texts = [None, "", " ", *(prose(r.randint(30, 120)) for _ in range(12))]
+    texts += texts[3:6] + [texts[8]]
+    ids = [1, 2, None, *range(4, 14), None, 14, 4, 5, 6, 77]
+    sources = ["a", None, "b", *(r.choice(["a", "b", None]) for _ in range(12))]
+    sources += sources[3:6] + ["a"]
+    names = ["tw_fp", "tw_id", "tw_size", "tw_key", "fp", "root", "n_chars_2", "position", "h", "y"]
+    table = common.stored(docs(texts, sources=sources, ids=ids).withColumns({n: F.lit(n) for n in names}), "odd")
+    rows = [x.asDict() for x in table.collect()]
+    size = lambda t: len((t or "").split())
+
+    kept = [x.asDict() for x in corpus_pipeline.near_dedup(spark, table, SF).collect()]
+    assert all(x in rows for x in kept) and sorted(str(x["text"] or "").strip() for x in kept) == sorted({(x["text"] or "").strip() for x in rows})
+    assert {x["doc_id"] for x in kept} >= {1, 4, 5, 6} and 77 not in {x["doc_id"] for x in kept}
+
+    clean = [x.asDict() for x in corpus_pipeline.secret_scan(spark, table, SF).collect()]
+    assert sorted(map(str, clean)) == sorted(map(str, rows))
+
+    mixed = common.stored(corpus_pipeline.mix(spark, table, SF), "odd-mix")
+    got = [x.asDict() for x in mixed.collect()]
+    assert set(got[0]) == set(rows[0]) and all(x in rows and size(x["text"]) for x in got)
+    assert all(got.count(x) <= 2 * rows.count(x) for x in got)
+    done = corpus_pipeline.encode(spark, mixed, SF).collect()
+    assert sorted(x["decoded_sha256"] for x in done) == sorted(hashlib.sha256(x["text"].encode()).hexdigest() for x in got)
+    odd = corpus_pipeline.encode(spark, table, SF).collect()
+    assert len(odd) == len(rows) and sum(x["n_tokens"] == 0 for x in odd) == 2

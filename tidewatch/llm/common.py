@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.sources.storage import discard, shared_dir, spread, stored
 
-__all__ = ["BLANKS", "bound_batches", "discard", "documents", "filesystem", "parallelism", "release", "shared_dir", "stored", "table", "word_array"]
+__all__ = ["BLANKS", "aside", "bound_batches", "discard", "documents", "filesystem", "parallelism", "release", "shared_dir", "stored", "table", "word_array"]
 
 #: Class of the contract's words: everything but these six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -27,6 +28,12 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns whose names begin like the operators' own (tw_) renamed, and how to name them as before."""
+    own = {c: f"own_{k}_{c}" for k, c in enumerate(docs.columns) if c.lower().startswith("tw_")}
+    return docs.withColumnsRenamed(own), lambda df: df.withColumnsRenamed({v: k for k, v in own.items()})
+
+
 def release() -> None:
     """Give memory that a task has freed back to the system, at the end of its rows.
 

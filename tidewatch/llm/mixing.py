@@ -78,7 +78,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repea
 def curriculum(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeats: int = MAX_REPEATS, slopes=SLOPES) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, source ...) with the plan of each document.
 
-    Added: tw_size, tw_source_size, tw_target, tw_taken, and tw_positions, the positions
+    Names that begin with tw_ are the plan's own; ``docs`` must have none such. Added: tw_size, tw_source_size, tw_target, tw_taken, and tw_positions, the positions
     (0 to 1) of its copies in the run.
     """
     marked = docs.withColumns({
@@ -118,10 +118,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     A copy is a whole document; of a cut one (the last of its source) the whole is given
     if at least half of it is taken.
     """
+    docs, as_before = common.aside(docs)
     plan = curriculum(docs, **options)
     half = F.when(F.col("tw_size") > 0, F.floor(F.col("tw_taken") / F.col("tw_size") + 0.5).cast("int")).otherwise(0)
     copies = plan.withColumn("tw_copies", F.slice("tw_positions", F.lit(1), half)).withColumn("tw_position", F.explode("tw_copies"))
-    return copies.orderBy("tw_position", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return as_before(copies.orderBy("tw_position", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

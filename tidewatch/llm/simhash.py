@@ -190,11 +190,12 @@ def representatives(docs: DataFrame, posting: int = POSTING, hashed: DataFrame |
     keepers = common.stored(rooted.groupBy("root").agg(first).select(F.col("least.first_id").alias("tw_id"), F.col("least.fp").alias("tw_kept")), "keepers")
     again = hashed.groupBy(F.col("doc_id").alias("tw_id")).agg(F.count("*").alias("tw_n")).filter("tw_n > 1 OR tw_id IS NULL").select("tw_id")
     again = common.stored(again, "repeated")
+    docs, as_before = common.aside(docs)
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("tw_id"))
     alone = docs.join(keepers.join(again, keepers["tw_id"].eqNullSafe(again["tw_id"]), "left_anti"), own, "left_semi")
     marked = docs.join(again, own, "left_semi").withColumn("tw_fp", _fingerprint(F.col("text").cast("string")))
     told = marked.join(keepers, (F.col("tw_fp") == F.col("tw_kept")) & own, "left_semi").dropDuplicates(["doc_id", "tw_fp"])
-    return alone.unionByName(told.drop("tw_fp"))
+    return as_before(alone.unionByName(told.drop("tw_fp")))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
