@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
+
+Cases: a null text is scored, fingerprinted and scanned as an empty one, has no words for the mix to
+take and so ends there; a null doc_id is a document, and rows that repeat a doc_id are told apart by
+their fingerprints; rows that repeat a whole document are near-duplicates of each other, and where the mix gets
+them each is a document; a null source is a source of its own, the last; empty tables give empty
+results; other columns, whatever their names, stay until the last stage.
 """
 
 from __future__ import annotations
