@@ -774,11 +774,13 @@ signals AS (SELECT x.*, x.independent_sources AS s, a.g, sev.*, t.title, o.landm
   CASE WHEN unique_images > 0 THEN round_even(greatest(0, unique_images - recycled_media_detected) / unique_images, 4) ELSE 0.0 END::DOUBLE AS m,
   CASE WHEN length(o.landmark) % 6 - 1 >= 0 THEN CAST(least(3, length(o.landmark) % 6 - 1) AS INTEGER) END AS h
   FROM corroboration x JOIN agree a ON a.cluster_id = x.cluster_id JOIN sev ON sev.cluster_id = x.cluster_id JOIN titled t ON t.cluster_id = x.cluster_id LEFT JOIN top o ON o.cluster_id = x.cluster_id),
-judged AS (SELECT *, {_CONFIDENCE} AS sure FROM signals)"""
+judged AS (SELECT *, {_CONFIDENCE} AS sure, CAST(CAST(sure AS VARCHAR) AS DECIMAL(30, 18)) * 100 AS hundredths FROM signals)"""
+#: Two digits, halves to the even one, of the number as it is written: the confidence often is a half or nearly one.
+_HALF_EVEN = "((floor(hundredths)::BIGINT + CASE WHEN hundredths - floor(hundredths) > 0.5 OR (hundredths - floor(hundredths) = 0.5 AND floor(hundredths)::BIGINT % 2 = 1) THEN 1 ELSE 0 END) / 100.0)"
 
 
 @query(f"""WITH {_JUDGED}
-SELECT j.cluster_id, c.event_type, title, round(c.center_lat, 7) AS center_lat, round(c.center_lon, 7) AS center_lon, c.uncertainty_radius_m, round_even(severity, 2) AS severity_score, round_even(sure, 2) AS confidence_score,
+SELECT j.cluster_id, c.event_type, title, round(c.center_lat, 7) AS center_lat, round(c.center_lon, 7) AS center_lon, c.uncertainty_radius_m, round_even(severity, 2) AS severity_score, {_HALF_EVEN} AS confidence_score,
   CASE WHEN j.c THEN 'CONTRADICTED' WHEN s >= 3 AND sure >= 70 THEN 'CORROBORATED' ELSE 'DEVELOPING' END AS verification_status, {_PRIORITY.format(s='severity', c='sure')} AS action_priority,
   total_reports, independent_sources, unique_images, recycled_media_detected, duplicate_image_groups, g AS geo_agreement, m AS fresh_media_ratio, h AS external_verification_hits, j.c AS has_contradiction,
   estimated_trapped_total, confirmed_by_sources FROM judged j JOIN centres c ON c.cluster_id = j.cluster_id""", ("members", "known"), recursive=True)
