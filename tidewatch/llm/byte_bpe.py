@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import common
 
 #: Pieces kept by a Python worker, and the longest that is kept.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
 #: Characters scanned at once.
 SCAN_CHARS = 1 << 20
 

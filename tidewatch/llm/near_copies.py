@@ -8,9 +8,10 @@ order of shingles, as long as all sets have the same (prefix filter). Nothing is
   at the end. Common lines are thus in a prefix only where a text is little else. The
   sample changes the work, never the result. Tasks get it as a table of bits of a fixed size.
 * Equal sets are one, whatever their number.
-* Each set is first verified against one other, of the least sets of its postings that with
-  which it shares most. What these links connect needs no further pair; postings that still
-  hold members of different components give all pairs between those. A group of near copies costs a star, while
+* Each set is first verified against at most ``HEADS`` others: each posting offers so many, chosen
+  by as many hashes, and of each kind that with which the set shares most is taken. What these
+  links connect needs no further pair; postings that still hold members of different components
+  give all pairs between those. A group of near copies costs a star, while
   texts that share a hot prefix and are no near copies cost their pairs.
 * Candidates pass an upper bound on what they share, by bit maps of 2 to 4 bits for each
   shingle: a bit that one map has and the other has not is a shingle that they don't share. Only what
@@ -37,7 +38,9 @@ SAMPLE, HOT = 0.1, 8
 #: Shingles hashed at once, and bits (2 to the power of) of the largest table of hot shingles or candidates that goes to tasks.
 _BLOCK, _TABLE = 1 << 16, 26
 #: Prefix entries that a task packs at once, and bytes that whole sets keep of a hash.
-_PACK, _KEEP = 1 << 20, 5
+_PACK, _KEEP = 1 << 19, 5
+#: Sets against which each set is verified before any pairs of a posting are made.
+HEADS = 8
 
 _random = np.random.default_rng(42)
 _VALUES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _random.integers(0, 2, 256, dtype=np.uint64)
@@ -296,11 +299,14 @@ def set_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     met = _postings(docs)
     maps = marked.filter("n > 0").select(F.col("set_id").alias("id"), "bits")
     maps = common.stored(maps.groupBy("id").agg(F.first("bits").alias("bits")), "maps", compression="zstd")
-    heads = met.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"))
-    star = met.join(heads, "key").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("n"), F.col("n").alias("m"))
-    # One pair for each set at first, that with most in common; whatever it leaves open is among the rest.
-    shared = star.filter(F.col("a") < F.col("b")).groupBy("a", "b", "n", "m").agg(F.count("*").alias("keys"))
-    best = shared.groupBy("b").agg(F.max(F.struct("keys", "a", "n", "m")).alias("x")).select("x.a", "b", "x.n", "x.m")
+    heads = met.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(j)), "id", "n")).alias(f"head{j}") for j in range(HEADS)])
+    offers = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"head{j}.id").alias("head"), F.col(f"head{j}.n").alias("size")) for j in range(HEADS)]))
+    star = met.join(heads, "key").select("id", "n", offers.alias("o")).select("id", "n", "o.*").filter("id <> head")
+    # A few pairs for each set at first, those with most in common; whatever they leave open is among the rest.
+    shared = star.groupBy("id", "n", "j", "head", "size").agg(F.count("*").alias("keys"))
+    best = shared.groupBy("id", "n", "j").agg(F.max(F.struct("keys", "head", "size")).alias("x")).select("id", "n", "x.head", "x.size")
+    low = F.col("id") < F.col("head")
+    best = best.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"), F.when(low, F.col("n")).otherwise(F.col("size")).alias("n"), F.when(low, F.col("size")).otherwise(F.col("n")).alias("m"))
     first = _verified(best, docs, maps)
     roots = connected_components(first)
     placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
