@@ -40,7 +40,7 @@ _BLOCK, _TABLE = 1 << 16, 26
 #: Prefix entries that a task packs at once, and bytes that whole sets keep of a hash.
 _PACK, _KEEP = 1 << 19, 5
 #: Sets against which each set is verified before any pairs of a posting are made.
-HEADS = 8
+HEADS = 16
 
 _random = np.random.default_rng(42)
 _VALUES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _random.integers(0, 2, 256, dtype=np.uint64)
