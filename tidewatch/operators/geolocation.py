@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import constants as C
 from tidewatch.functions import geo
+from tidewatch.operators import nearby
 
 _PIN = ["lat", "lon", "radius_m", "method", "confidence", "detail"]
 
@@ -121,37 +122,26 @@ def nearby_candidates(direct: DataFrame) -> DataFrame:
     return near.select("target", "id", "lat", "lon", "radius_m")
 
 
-def _mean(items: Column, field: str) -> Column:
-    """Mean of a field, summed in the order of the array."""
-    return F.aggregate(items, F.lit(0.0), lambda a, c: a + c[field]) / F.size(items)
-
-
 def nearby_inference(direct: DataFrame) -> DataFrame:
-    """id and the inferred pin, or the reason why there is none, for each unresolved relevant report.
+    """id and the inferred pin, or the reason why there is none, for each unresolved relevant report with candidates.
 
-    Around every candidate stand those within twice the allowed spread; the one largest such
-    group that is tight enough gives its centroid. Candidates of a target are one sorted
-    array, on which everything is computed by native array functions.
+    Reports of one type and moment have the same candidates, so they are one; see ``nearby`` for how a
+    moment's largest tight group is found.
     """
-    far = lambda c, lat, lon: geo.haversine_m(c["lat"], c["lon"], lat, lon, C.EARTH_RADIUS_GEO_M)
-    gathered = nearby_candidates(direct).groupBy("target").agg(F.sort_array(F.collect_list(F.struct("id", "lat", "lon", "radius_m"))).alias("near"))
-    around = F.transform("near", lambda a: F.filter("near", lambda c: geo.haversine_m(a["lat"], a["lon"], c["lat"], c["lon"], C.EARTH_RADIUS_GEO_M) <= 2 * C.NEARBY_SPREAD_M))
-    sets = gathered.withColumn("groups", F.array_distinct(F.filter(around, lambda g: F.size(g) >= C.NEARBY_MIN_SAMPLES)))
-    centred = sets.withColumn("groups", F.transform("groups", lambda g: F.struct(g.alias("g"), _mean(g, "lat").alias("lat"), _mean(g, "lon").alias("lon"))))
-    spread = centred.withColumn("groups", F.transform("groups", lambda x: x.withField("spread", F.array_max(F.transform(x["g"], lambda c: far(c, x["lat"], x["lon"]))))))
-    tight = spread.withColumn("groups", F.filter("groups", lambda x: x["spread"] <= C.NEARBY_SPREAD_M)).withColumn("most", F.array_max(F.transform("groups", lambda x: F.size(x["g"]))))
-    largest = tight.withColumn("groups", F.filter("groups", lambda x: F.size(x["g"]) == F.col("most")))
-    n = F.size("near")
-    reason = F.when(n < C.NEARBY_MIN_SAMPLES, F.concat(F.lit("only_"), n.cast("string"), F.lit("_neighbors"))).when(F.col("most").isNull(), "no_tight_neighbor_group").when(F.size("groups") > 1, "ambiguous_neighbor_groups")
-    reach = F.array_max(F.transform(F.get("groups", F.lit(0))["g"], lambda c: c["radius_m"] + far(c, F.get("groups", F.lit(0))["lat"], F.get("groups", F.lit(0))["lon"])))
-    one = F.get("groups", F.lit(0))
-    radius = F.greatest(F.lit(150.0), one["spread"] * 1.5 + 60.0, reach)
-    sure = F.greatest(F.lit(0.15), F.least(F.lit(0.45), 0.15 + 0.05 * F.size(one["g"])))
-    said = F.concat(F.lit("nearby:n="), F.size(one["g"]).cast("string"), F.lit(",spread="), F.bround(one["spread"], 0).cast("long").cast("string"), F.lit("m"))
+    at = F.unix_micros("ts").alias("at")
+    kind = F.col("facts.disaster_type").alias("type")
+    pins = direct.filter(F.col("method").isin("gps", "landmark_geocode")).select("id", kind, at, "lat", "lon", "radius_m")
+    targets = direct.filter((F.col("method") == "unresolved") & F.col("facts.relevant") & F.col("facts.disaster_type").isNotNull() & F.col("ts").isNotNull()).select("id", kind, at)
+    of = nearby.inferred(pins, targets.select("type", "at").distinct())
+    one = F.col("best")
+    reason = F.when(F.col("k") < C.NEARBY_MIN_SAMPLES, F.concat(F.lit("only_"), F.col("k").cast("string"), F.lit("_neighbors"))).when(one.isNull(), "no_tight_neighbor_group").when(F.col("tied"), "ambiguous_neighbor_groups")
+    radius = F.greatest(F.lit(150.0), one["spread"] * 1.5 + 60.0, one["reach"])
+    sure = F.greatest(F.lit(0.15), F.least(F.lit(0.45), 0.15 + 0.05 * one["n"]))
+    said = F.concat(F.lit("nearby:n="), one["n"].cast("string"), F.lit(",spread="), F.bround(one["spread"], 0).cast("long").cast("string"), F.lit("m"))
     ok = reason.isNull()
     values = {"lat": one["lat"], "lon": one["lon"], "radius_m": radius, "confidence": sure}
-    return largest.select(
-        F.col("target").alias("id"), *[F.when(ok, v).alias(k) for k, v in values.items()],
+    return targets.join(of, ["type", "at"]).select(
+        "id", *[F.when(ok, v).alias(k) for k, v in values.items()],
         F.when(ok, "nearby_inference").otherwise("unresolved").alias("method"), F.when(ok, said).otherwise(reason).alias("detail"),
     )
 
