@@ -71,7 +71,6 @@ def test_bit_maps_bound_what_sets_share():
         a, b = np.unique(values[:n]), np.unique(values[n - both :])
         most = near_copies._most_shared(near_copies._bit_map(a), near_copies._bit_map(b), len(a), len(b))
         assert most >= len(np.intersect1d(a, b)) and most <= min(n, m)
-        assert sorted(near_copies._unpacked(near_copies._packed(a))) == sorted(int(v) & ((1 << 40) - 1) for v in a)
     x, y = (np.array([r.getrandbits(64) for _ in range(1000)], np.uint64) for _ in range(2))
     assert near_copies._most_shared(near_copies._bit_map(x), near_copies._bit_map(y), 1000, 1000) < 800  # sets that share nothing are ruled out
 
@@ -83,6 +82,60 @@ def test_stage_drops_planted_near_copies(spark, docs, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
     # The same with a hot line in nearly every text's order, which changes the work alone.
     monkeypatch.setattr(near_copies, "SAMPLE", 1.0)
-    monkeypatch.setattr(near_copies, "HOT", 3)
-    assert near_copies.hot_shingles(docs(texts)).table.any()
+    monkeypatch.setattr(near_copies, "HOT", (3, 9))
+    assert all(bits.table.any() for bits in near_copies.hot_shingles(docs(texts)))
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(texts), "").collect()) == want
+
+
+def candidates(spark, docs, monkeypatch, texts):
+    """(pairs sent to verification, links) of ``near_copies.set_links``."""
+    sent, verify = [], near_copies._verified
+
+    def counting(pairs, *rest):
+        sent.append(pairs.distinct().count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", counting)
+    df = docs(texts)
+    found = near_copies.set_links(df, near_copies.marks(df)).count()
+    monkeypatch.setattr(near_copies, "_verified", verify)
+    return sum(sent), found
+
+
+def test_texts_of_one_template_are_no_pairs(spark, docs, monkeypatch):
+    """60 shared words and 12 of their own: a similarity of 0.7, which is no link and must not cost all pairs."""
+    r = random.Random(9)
+    for n in (300, 900):
+        template = [f"t{k}" for k in range(60)]
+        texts = [" ".join(template + [f"o{r.randrange(10**6)}" for _ in range(12)]) for _ in range(n)]
+        pairs, links = candidates(spark, docs, monkeypatch, texts)
+        assert links == 0 and pairs <= 2 * n
+
+
+def test_mixed_lengths_around_a_template(spark, docs):
+    """Own parts of many lengths, on both sides of 0.8, against brute force."""
+    r = random.Random(10)
+    template = [f"t{k}" for k in range(60)]
+    texts = [" ".join(template + [f"o{r.randrange(10**6)}" for _ in range(k % 25)]) for k in range(250)]
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs(texts), "").collect()) == brute(texts)
+
+
+def test_regular_long_words_differ():
+    """Words that make a polynomial hash modulo 2 ** 64 collide (Thue-Morse), alone and as many words."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    assert list(near_copies.shingle_set(a)) != list(near_copies.shingle_set(b))
+    x, y = (near_copies.shingle_set(" ".join(t)) for t in (a, b))
+    words = lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
+    assert len(x) == len(words(a)) and len(np.intersect1d(x, y)) == len(words(a) & words(b))
+
+
+def test_cases(spark, docs):
+    empty = docs([])
+    assert near_copies.links(empty, near_copies.marks(empty)).count() == 0
+    long = " ".join(f"w{k * k % 99991}" for k in range(300_000))
+    texts = [None, "", " \t", long, long + " end", "a b", "A  b", long[:1000]]
+    df = docs(texts, ids=[None, 1, 1, 2, 3, 4, 5, None]).selectExpr("*", "1 AS set_id", "2 AS n", "3 AS key", "4 AS fp")
+    marked = near_copies.marks(df)
+    assert near_copies.set_links(df, marked).count() == 1 and marked.filter("n = 0").count() == 3

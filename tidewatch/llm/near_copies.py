@@ -1,22 +1,29 @@
 """Near copies by the exact Jaccard similarity of word shingles, found by a prefix join.
 
 A text is its set of hashed shingles of five words; two texts are near copies from a
-similarity of 4/5. Such sets share a shingle among the first fifth of each, whatever the
-order of shingles, as long as all sets have the same (prefix filter). Nothing is lost:
-
-* The order is by hash, with shingles that a sample of the documents shows in many texts
-  at the end. Common lines are thus in a prefix only where a text is little else. The
-  sample changes the work, never the result. Tasks get it as a table of bits of a fixed size.
+similarity of 4/5. Two such sets of n and m shingles share ceil(4 (n + m) / 9) of them at least, so
+one of the first n + 1 less that many of the one is among the first m + 1 less that many of the other, whatever
+the order of shingles, as long as all sets have the same (prefix filter). Nothing is lost:
+
+* The order is by how many of a sample of the documents have a shingle, in ``HOT`` steps, then by hash. Common
+  lines are thus in a prefix only where a text is little else. The sample changes the work,
+  never the result. Tasks get it as tables of bits of a fixed size.
+* The entry of a shingle at place p of a set of n serves sets of up to (5 n - 9 p) / 4 shingles alone. Of a posting
+  only entries stay that serve another and are served. A template that many texts share, each with too much
+  of its own for 4/5, stands behind what is their own in each, where its entries serve none: such texts meet nowhere.
 * Equal sets are one, whatever their number.
 * Each set is first verified against at most ``HEADS`` others: each posting offers so many, chosen
   by as many hashes, and of each kind that with which the set shares most is taken. What these
-  links connect needs no further pair; postings that still hold members of different components
-  give all pairs between those. A group of near copies costs a star, while
-  texts that share a hot prefix and are no near copies cost their pairs.
+  links connect needs no further pair; in postings that still hold members of different components
+  the entries meet those of the sizes they serve. A group of near copies costs a star. Texts that share what is
+  in many, are made of little else and are no near copies cost their pairs.
 * Candidates pass an upper bound on what they share, by bit maps of 2 to 4 bits for each
   shingle: a bit that one map has and the other has not is a shingle that they don't share. Only what
-  is left is verified on whole sets, made again from the texts of candidates alone; of each hash they
-  carry 40 bits.
+  is left is verified on whole sets of 64-bit hashes, made again from the texts of candidates alone.
+
+Cases: a null, empty or blank text has no shingles and is a near copy of none; fewer than five words are one shingle;
+a null doc_id, repeated rows and other columns don't matter here; texts are hashed whole in blocks, however
+long they or their words are; an empty table gives no links.
 """
 
 from __future__ import annotations
@@ -33,14 +40,18 @@ from tidewatch.llm import common, simhash
 from tidewatch.operators.components import connected_components
 
 WORDS = 5
-#: Share of documents that are sampled for hot shingles, and texts in it from which one is hot.
-SAMPLE, HOT = 0.1, 8
+#: Share of documents that are sampled for hot shingles, and texts in it from which one is hot, hotter, hottest.
+SAMPLE, HOT = 0.1, (8, 64, 512)
 #: Shingles hashed at once, and bits (2 to the power of) of the largest table of hot shingles or candidates that goes to tasks.
 _BLOCK, _TABLE = 1 << 16, 26
-#: Prefix entries that a task packs at once, and bytes that whole sets keep of a hash.
-_PACK, _KEEP = 1 << 19, 5
+#: Prefix entries that a task packs at once.
+_PACK = 1 << 19
 #: Sets against which each set is verified before any pairs of a posting are made.
 HEADS = 16
+#: Ratio of the sizes that are one step of a posting's scale of sizes.
+SIZE_STEP = 1.04
+#: Bytes from which a word is hashed by itself.
+_LONG = 512
 
 _random = np.random.default_rng(42)
 _VALUES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _random.integers(0, 2, 256, dtype=np.uint64)
@@ -61,26 +72,43 @@ def _grown(n: int) -> list[np.ndarray]:
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; fewer words than five are one shingle, no words none.
 
-    Words are those of ``simhash.fingerprint``. A shingle's hash is polynomial in its bytes, so
-    all come from one running sum.
+    Words are those of ``simhash.fingerprint``. All words are hashed by one running sum that is polynomial in
+    their bytes (long ones by XXH64: there, regular strings could collide), mixed, and mixed again by fives.
     """
     words = (text or "").encode("utf-8", "surrogatepass").translate(simhash._ASCII_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    line = np.frombuffer(b" ".join(words), np.uint8)
-    ends = np.append(np.flatnonzero(line == 32), len(line))
-    starts = np.append(0, ends[:-1] + 1)
-    firsts, lasts, parts = starts[: max(1, len(words) - WORDS + 1)], ends[min(WORDS, len(words)) - 1 :], []
-    for at in range(0, len(firsts), _BLOCK):
-        a, b = firsts[at : at + _BLOCK] - firsts[at], lasts[at : at + _BLOCK] - firsts[at]
-        up, down = _grown(int(b[-1]) + 1)
-        total = np.append(np.uint64(0), np.cumsum(_VALUES[line[firsts[at] : firsts[at] + b[-1]]] * up[: b[-1]]))
-        h = (total[b] - total[a]) * down[a]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        parts.append(h ^ (h >> np.uint64(29)))
+    parts, width, before = [], min(WORDS, len(words)), np.empty(0, np.uint64)
+    for at in range(0, len(words), _BLOCK):
+        h = np.concatenate([before, _word_hashes(words[at : at + _BLOCK])])
+        n = len(h) - width + 1
+        if n > 0:
+            mixed = np.zeros(n, np.uint64)
+            for k in range(width):
+                mixed = _mix((mixed ^ h[k : k + n]) * np.uint64(_BASE))
+            parts.append(np.unique(mixed))
+        before = h[max(0, n) :]
     return np.unique(np.concatenate(parts))
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    short = [w if len(w) < _LONG else b"" for w in words]
+    sizes = np.fromiter(map(len, short), np.int64, len(short))
+    line = np.frombuffer(b"".join(short), np.uint8)
+    ends = np.cumsum(sizes)
+    up, down = _grown(len(line) + 1)
+    total = np.append(np.uint64(0), np.cumsum(_VALUES[line] * up[: len(line)]))
+    h = _mix((total[ends] - total[ends - sizes]) * down[ends - sizes] + sizes.astype(np.uint64) * np.uint64(_BASE))
+    for k in np.flatnonzero(sizes == 0):  # words are never empty
+        h[k] = xxhash.xxh64_intdigest(words[k], simhash.SEED)
+    return h
+
+
 class Bits:
     """A set of longs by their leading bits: has all that are in it, and a few others."""
 
@@ -103,12 +131,18 @@ class Bits:
         return (self.table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _prefix(s: np.ndarray, hot: Bits) -> np.ndarray:
+def _longest(n):
+    """How many shingles of a set of n are in its longest prefix."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def _prefix(s: np.ndarray, hot: list[Bits]) -> np.ndarray:
     """The shingles of which two near copies share one: the first in the common order."""
-    late = hot.has(s)
-    s = np.concatenate([s[~late], s[late]])
-    n = len(s)
-    return s[: n - (4 * n + 4) // 5 + 1] if n else s
+    heat = np.zeros(len(s), np.int8)
+    for bits in hot:
+        heat += bits.has(s)
+    s = s[np.argsort(heat, kind="stable")]
+    return s[: _longest(len(s))] if len(s) else s
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -119,8 +153,8 @@ def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def hot_shingles(docs: DataFrame) -> Bits:
-    """The shingles that many sampled texts have."""
+def hot_shingles(docs: DataFrame) -> list[Bits]:
+    """The shingles that many sampled texts have, by steps of ``HOT``."""
 
     def each(batches):
         for batch in batches:
@@ -128,8 +162,8 @@ def hot_shingles(docs: DataFrame) -> Bits:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py()).view(np.int64))], names=["id"])
 
     keys = docs.sample(SAMPLE, 42).select(F.col("text").cast("string")).mapInArrow(each, "id long")
-    found = common.stored(keys.groupBy("id").count().filter(F.col("count") >= HOT).select("id"), "hot")
-    return Bits.of(found)
+    found = common.stored(keys.groupBy("id").count().filter(F.col("count") >= HOT[0]), "hot")
+    return [Bits.of(found.filter(F.col("count") >= n).select("id")) for n in HOT]
 
 
 def _bit_map(s: np.ndarray) -> bytes:
@@ -159,24 +193,12 @@ def _may_share(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Ser
     return pd.Series([9 * _most_shared(*row) >= 4 * (row[2] + row[3]) for row in zip(a, b, n, m)], dtype=bool)
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """The last 40 bits of each hash."""
-    return s.view(np.uint8).reshape(-1, 8)[:, :_KEEP].tobytes() if len(s) else b""
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // _KEEP, 8), np.uint8)
-    out[:, :_KEEP] = np.frombuffer(raw, np.uint8).reshape(-1, _KEEP)
-    return out.view("<u8").ravel()
-
-
 @F.pandas_udf(BooleanType())
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b):
-        x, y = _unpacked(x), _unpacked(y)
-        # Counted with repeats: what differs in its first bits alone is as good as never there.
-        out.append(9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y)))
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        out.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
     return pd.Series(out, dtype=bool)
 
 
@@ -197,24 +219,27 @@ def marks(docs: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame) -> DataFrame:
-    """key, id, n: the sets of each shingle that is in the prefix of two or more, stored.
+    """key, id, n, most: the sets of each shingle that is in the prefix of two or more that serve each other, stored.
 
-    Entries go through one shuffle in packs, and shingles of a single set end there.
+    An entry serves sets of up to ``most`` shingles. Entries go through one shuffle in packs, with their
+    places in 256ths of the prefix, rounded down; those that serve none end there.
     """
     hot, width = hot_shingles(docs), common.parallelism(docs)
     parts = 8 * width
 
     def packs(held):
         ids, ns = np.array(list(held), np.uint64), np.array([n for n, _ in held.values()], np.uint32)
-        keys, owner = np.concatenate([p for _, p in held.values()]), np.repeat(np.arange(len(ids)), [len(p) for _, p in held.values()])
+        keys, sizes = np.concatenate([p for _, p in held.values()]), np.array([len(p) for _, p in held.values()])
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        place = ((np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) * 256 // np.repeat(sizes, sizes)).astype(np.uint8)
         part = ((keys * np.uint64(_BASE)) >> np.uint64(33)).astype(np.int64) % parts
         order = np.argsort(part, kind="stable")
         bounds, rows = np.searchsorted(part[order], np.arange(parts + 1)), []
         for k in np.flatnonzero(np.diff(bounds)):
             at = order[bounds[k] : bounds[k + 1]]
             mine, local = np.unique(owner[at], return_inverse=True)
-            rows.append((int(k), keys[at].tobytes(), local.astype(np.uint16).tobytes(), ids[mine].tobytes(), ns[mine].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n else pa.int64()) for n, c in enumerate(zip(*rows))], names=["part", "keys", "owner", "ids", "ns"])
+            rows.append((int(k), keys[at].tobytes(), place[at].tobytes(), local.astype(np.uint16).tobytes(), ids[mine].tobytes(), ns[mine].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n else pa.int64()) for n, c in enumerate(zip(*rows))], names=["part", "keys", "places", "owner", "ids", "ns"])
 
     def deal(batches):
         held, size = {}, 0
@@ -232,37 +257,47 @@ def _postings(docs: DataFrame) -> DataFrame:
         common.release()
 
     def meet(batches):
-        keys, owner, ids, ns, base = [], [], [], [], 0
+        keys, places, owner, ids, ns, base = [], [], [], [], [], 0
         for batch in batches:
-            for k, o, i, n in zip(*(batch.column(c).to_pylist() for c in range(1, 5))):
+            for k, p, o, i, n in zip(*(batch.column(c).to_pylist() for c in range(1, 6))):
                 keys.append(np.frombuffer(k, np.uint64))
-                owner.append(np.frombuffer(o, np.uint16).astype(np.int64) + base)
+                places.append(np.frombuffer(p, np.uint8))
+                owner.append(np.frombuffer(o, np.uint16).astype(np.int32) + np.int32(base))
                 ids.append(np.frombuffer(i, np.uint64))
                 ns.append(np.frombuffer(n, np.uint32))
                 base += len(ids[-1])
         if keys:
-            keys, owner, ids, ns = (np.concatenate(x) for x in (keys, owner, ids, ns))
+            keys, places, owner, ids, ns = (np.concatenate(x) for x in (keys, places, owner, ids, ns))
             _, back, times = np.unique(keys, return_inverse=True, return_counts=True)
             often = times[back] > 1
-            keys, owner = keys[often], owner[often]
+            keys, places, owner = keys[often], places[often], owner[often]
+            del back
             order = np.lexsort((ids[owner], keys))
-            keys, owner = keys[order], owner[order]
+            keys, places, owner = keys[order], places[order].astype(np.int64), owner[order]
             id_ = ids[owner]
             fresh = np.append(True, (keys[1:] != keys[:-1]) | (id_[1:] != id_[:-1])) if len(keys) else np.zeros(0, bool)
-            keys, id_, n = keys[fresh], id_[fresh], ns[owner[fresh]].astype(np.int64)
-            _, back, times = np.unique(keys, return_inverse=True, return_counts=True)
-            met = times[back] > 1
-            keys, id_, n = keys[met].view(np.int64), id_[met].view(np.int64), n[met]
+            keys, places, id_, n = keys[fresh], places[fresh], id_[fresh], ns[owner[fresh]].astype(np.int64)
+            most = (5 * n - 9 * (places * _longest(n) // 256)) // 4
+            for _ in range(3):
+                at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+                if not len(at):
+                    break
+                held = np.diff(np.append(at, len(keys)))
+                stay = (most >= np.repeat(np.minimum.reduceat(n, at), held)) & (n <= np.repeat(np.maximum.reduceat(most, at), held)) & np.repeat(held > 1, held)
+                if stay.all():
+                    break
+                keys, id_, n, most = keys[stay], id_[stay], n[stay], most[stay]
+            keys, id_ = keys.view(np.int64), id_.view(np.int64)
             for at in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (keys, id_, n)], names=["key", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (keys, id_, n, most)], names=["key", "id", "n", "most"])
         common.release()
 
-    dealt = docs.select(F.col("text").cast("string")).mapInArrow(deal, "part long, keys binary, owner binary, ids binary, ns binary")
-    return common.stored(dealt.repartition(width, "part").mapInArrow(meet, "key long, id long, n long"), "postings")
+    dealt = docs.select(F.col("text").cast("string")).mapInArrow(deal, "part long, keys binary, places binary, owner binary, ids binary, ns binary")
+    return common.stored(dealt.repartition(width, "part").mapInArrow(meet, "key long, id long, n long, most long"), "postings")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, s: the whole sets of the ids (and a few others), packed."""
+    """id, s: the whole sets of the ids (and a few others)."""
     wanted = Bits.of(ids)
 
     def each(batches):
@@ -271,7 +306,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for text in batch.column(0):
                 id_ = _set_id(s := shingle_set(text.as_py()))
                 if id_ not in found and wanted.has(np.array([id_], np.uint64))[0]:
-                    found[id_] = _packed(s)
+                    found[id_] = s.tobytes()
             if found:
                 yield pa.RecordBatch.from_arrays([_longs(list(found)), pa.array(list(found.values()), pa.binary())], names=["id", "s"])
         common.release()
@@ -299,9 +334,12 @@ def set_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     met = _postings(docs)
     maps = marked.filter("n > 0").select(F.col("set_id").alias("id"), "bits")
     maps = common.stored(maps.groupBy("id").agg(F.first("bits").alias("bits")), "maps", compression="zstd")
-    heads = met.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(j)), "id", "n")).alias(f"head{j}") for j in range(HEADS)])
-    offers = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"head{j}.id").alias("head"), F.col(f"head{j}.n").alias("size")) for j in range(HEADS)]))
-    star = met.join(heads, "key").select("id", "n", offers.alias("o")).select("id", "n", "o.*").filter("id <> head")
+    heads = met.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(j)), "id", "n", "most")).alias(f"head{j}") for j in range(HEADS)])
+    offers = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"head{j}.id").alias("head"), F.col(f"head{j}.n").alias("size"), F.col(f"head{j}.most").alias("serves")) for j in range(HEADS)])
+    fresh = lambda o, j: ~F.array_contains(F.transform(F.slice("offers", F.lit(1), j), lambda x: x["head"]), o["head"])
+    heads = heads.select("key", offers.alias("offers")).select("key", F.filter("offers", fresh).alias("offers"))
+    serves = F.filter("offers", lambda o: (o["head"] != F.col("id")) & (o["size"] <= F.col("most")) & (F.col("n") <= o["serves"]))
+    star = met.join(heads, "key").select("id", "n", F.explode(serves).alias("o")).select("id", "n", "o.*")
     # A few pairs for each set at first, those with most in common; whatever they leave open is among the rest.
     shared = star.groupBy("id", "n", "j", "head", "size").agg(F.count("*").alias("keys"))
     best = shared.groupBy("id", "n", "j").agg(F.max(F.struct("keys", "head", "size")).alias("x")).select("id", "n", "x.head", "x.size")
@@ -313,8 +351,13 @@ def set_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     placed = common.stored(placed, "placed")
     open_ = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     left = common.stored(placed.join(open_, "key"), "open")
-    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    rest = left.withColumnRenamed("id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")))
+    # Of two sets the smaller one looks among the sizes it serves, by steps of a geometric scale.
+    scale = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+    leads = left.filter("most >= n").select("key", F.col("id").alias("a"), "n", "most", "root", F.explode(F.sequence(scale("n") - 1, scale("most") + 1)).alias("step"))
+    other = left.select("key", scale("n").alias("step"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("most").alias("serves"), F.col("root").alias("root_b"))
+    serves = F.col("m").between(F.col("n"), F.col("most")) & (F.col("n") <= F.col("serves")) & (F.col("root") != F.col("root_b")) & ((F.col("n") < F.col("m")) | (F.col("a") < F.col("b")))
+    rest = leads.join(other, ["key", "step"]).filter(serves).select("a", "b", "n", "m")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("a") < F.col("b"), F.col("m")).otherwise(F.col("n")).alias("m"))
     near = common.stored(first.unionByName(_verified(rest, docs, maps)), "near")
     common.discard(met, maps, placed, left)
     return near
