@@ -124,3 +124,6 @@ def test_runs_put_groups_together(size):
             want.append((k, []))
         want[-1][1].append(v)
     assert got == want and list(runs(iter([]), 1)) == []
+    table = table.append_column("home", pa.array([v % 9 == 0 for v in range(40)]))
+    got = [(g["k"][0].as_py(), g["v"].to_pylist()) for g in runs(iter(table.to_batches(max_chunksize=size)), 1, 3, "home")]
+    assert got == [w for w in want if len(w[1]) >= 3 and any(v % 9 == 0 for v in w[1])]

@@ -78,3 +78,42 @@ def test_phash_survives_brightness_and_size():
 def test_ranks_are_global(spark):
     rows = ranked(spark.range(1000).withColumn("v", (F.col("id") * 7919) % 1000), [F.col("v")], "n").collect()
     assert all(r["n"] == r["v"] + 1 for r in rows)
+
+
+def _png(seed: int) -> bytes:
+    import struct
+    import zlib
+
+    import numpy as np
+
+    grey = np.random.default_rng(seed).integers(0, 255, (16, 16), np.uint8)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = b"".join(b"\0" + r.tobytes() for r in grey)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 16, 16, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_media_with_equal_names_and_empty_files(spark, tmp_path):
+    """Files of one name in several folders are told apart; one of no bytes is listed and refused."""
+    from tidewatch.sources import media
+
+    files = {"a/x.png": b"broken", "b/x.png": _png(1), "c/x.png": _png(2), "c/empty.png": b"", "c/d e/ä+x%20.PNG": _png(3), "note.txt": b"t", "c/d e/big.jpg": b"0" * (8 * 1024 * 1024 + 1), "c/.hidden.png": b"", "empty.txt": b""}
+    for name, body in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    want = {"a/x.png": "undecodable", "b/x.png": None, "c/x.png": None, "c/empty.png": "empty file", "c/d e/ä+x%20.PNG": None, "note.txt": "unsupported type", "c/d e/big.jpg": "too large", "empty.txt": "unsupported type"}
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        got = media.media_manifest(spark, root).collect()
+        assert {r["path"]: r["reason"] for r in got} == want and len(got) == len(want)
+        assert {r["path"]: r["length"] for r in got} == {k: len(files[k]) for k in want}
+    hashes = {r["path"]: r["phash"] for r in media.phash_images(spark, str(tmp_path)).collect()}
+    assert set(hashes) == {"b/x.png", "c/x.png", "c/d e/ä+x%20.PNG"} and len(set(hashes.values())) == 3
+
+
+def test_one_analysis_of_an_image_in_every_run(spark):
+    from tidewatch.operators import evidence, extraction
+
+    kind = extraction.failed_analysis("x") if hasattr(extraction, "failed_analysis") else evidence.failed_analysis("x")
+    rows = spark.range(6).select(F.when(F.col("id") % 2 == 0, "AB").otherwise("ab").alias("phash"), (10 - F.col("id")).alias("stored_at"), kind.alias("analysis"))
+    media = spark.createDataFrame([("Ab",), ("cd",), (None,)], "phash string")
+    got = evidence.image_analysis_join(media, rows.repartition(6)).collect()
+    assert len(got) == 3 and sum(r["analysis"] is None for r in got) == 1

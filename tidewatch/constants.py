@@ -67,8 +67,7 @@ SEEN_IDS_KEPT = 5000
 # Patterns, all matched without regard to case.
 REPOST_PREFIX = r"^\s*(?:RT|Repost|Forwarded(?:\s+update)?|Shared\s+from)\s*(?:@[A-Za-z0-9_]+)?\s*:?\s*"
 NORMALIZE_PREFIX = r"^\s*(?:RT|Repost|Forwarded(?:\s+update)?|Shared\s+from)\b[:\s]*"
-NOISE_ONLY = r"^\W*$"
-NOISE_START = r"^\W*(?:thoughts|prayers|stay\s+safe|sending|keep\s+believing|positive\s+energy)\b.*$"
+NOISE = r"^(?:[^\w]*|\W*(?:thoughts|prayers|stay\s+safe|sending|keep\s+believing|positive\s+energy)\b.*)$"
 HAZARD_PATTERNS = {
     "COLLAPSE": r"\b(collaps\w*|caved?\s+in|given?\s+way|rubble|debris|broken\s+concrete|concrete\s+pieces|fallen\s+(?:wall|slab|railing)|crack\w*|structural\w*)\b",
     "FIRE": r"\b(fire|blaze|burning|flames?|smoke|short\s*circuit\s+spark\w*)\b",

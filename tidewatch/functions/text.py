@@ -66,7 +66,7 @@ def strip_repost_prefix(text: Column) -> Column:
 def is_noise(text: Column) -> Column:
     """Nothing but marks, or words of sympathy at the start; blank and null too."""
     text = F.coalesce(text, F.lit(""))
-    return text.rlike(java(C.NOISE_ONLY)) | text.rlike(java(C.NOISE_START))
+    return text.rlike(java(C.NOISE))
 
 
 def detect_hazard(text: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidewatch import constants as C
 from tidewatch.functions import geo
 from tidewatch.operators.components import connected_components
+from tidewatch.operators.runs import runs
 from tidewatch.sources.storage import ranked, stored
 
 #: Edges of grid cells, in degrees. A cell is longer than the link distance: rows are as high everywhere, columns get wider
@@ -86,6 +87,8 @@ def cluster_partition(reports: DataFrame) -> DataFrame:
     column = F.pmod(F.floor((F.col("lon") + 180.0) / CELL_LON), F.lit(turns)) / units
     cap = units.isNull()
     celled = celled.withColumns({"col": F.when(cap, -1).otherwise(F.floor(column)).cast("long"), "row": F.when(cap, F.signum("lat") * 100_000).otherwise(F.col("row")).cast("long")})
+    # Stored: what the reports come from, extraction say, is worked out once, and apart from the code of this.
+    celled = stored(celled, "celled")
     place = ["disaster_type", "slot", "row", "col"]
     cells = stored(celled.groupBy(place).agg(F.min("id").alias("least")), "cells")
     # Half of the neighbours are enough: later slots, and in the same slot rows above and the next column.
@@ -146,21 +149,34 @@ def assign(leaders: list[Leader], at: float, id_: str, lat: float, lon: float, r
     return best
 
 
-def _leader_pass(group: pd.DataFrame) -> pd.DataFrame:
-    """The sequential rule over one group, in order of time and id."""
-    group = group.sort_values(["at", "id"], kind="stable")
-    leaders: list[Leader] = []
-    taken = []
-    for row in group.itertuples():
-        taken.append(assign(leaders, row.at, row.id, row.lat, row.lon, row.radius_m))
-        # Clusters whose time is over take no more reports; forget them.
-        if len(leaders) > 64:
-            leaders = [x for x in leaders if row.at - x.latest <= C.CLUSTER_WINDOW_S]
-    radius = [max(C.CLUSTER_MIN_RADIUS_M, x.radius / math.sqrt(x.n)) for x in taken]
-    return pd.DataFrame({
-        "id": group["id"].to_numpy(), "first_id": [x.first_id for x in taken], "first_at": [x.first for x in taken], "center_lat": [x.lat for x in taken],
-        "center_lon": [x.lon for x in taken], "uncertainty_radius_m": radius, "n": [x.n for x in taken],
-    })
+_LED = "id string, first_id string, first_at double, center_lat double, center_lon double, uncertainty_radius_m double, n long"
+
+
+def _leader_pass(batches):
+    """The sequential rule over each component of rows (component, at, id, lat, lon, radius_m) sorted by these."""
+    kinds = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+    names = [c.split()[0] for c in _LED.split(", ")]
+    ids: list[str] = []
+    taken: list[Leader] = []
+
+    def led():
+        radius = [max(C.CLUSTER_MIN_RADIUS_M, x.radius / math.sqrt(x.n)) for x in taken]
+        columns = [ids, [x.first_id for x in taken], [x.first for x in taken], [x.lat for x in taken], [x.lon for x in taken], radius, [x.n for x in taken]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    for group in runs(batches, 1):
+        leaders: list[Leader] = []
+        for at, id_, lat, lon, radius in zip(*(group.column(k).to_pylist() for k in range(1, 6))):
+            taken.append(assign(leaders, at, id_, lat, lon, radius))
+            ids.append(id_)
+            # Clusters whose time is over take no more reports; forget them.
+            if len(leaders) > 64:
+                leaders = [x for x in leaders if at - x.latest <= C.CLUSTER_WINDOW_S]
+        if len(ids) >= 10_000:
+            yield led()
+            ids, taken = [], []
+    if ids:
+        yield led()
 
 
 def cluster_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,8 +186,8 @@ def cluster_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     members: cluster_id, id. Ids follow the order of first time and first id of the batch.
     """
     parted = cluster_partition(reports.select("id", "disaster_type", "lat", "lon", "radius_m", "ts")).withColumn("at", F.unix_micros("ts") / 1_000_000)
-    schema = "id string, first_id string, first_at double, center_lat double, center_lon double, uncertainty_radius_m double, n long"
-    led = parted.select("component", "id", "lat", "lon", "radius_m", "at").groupBy("component").applyInPandas(_leader_pass, schema)
+    dealt = parted.select("component", "at", "id", "lat", "lon", "radius_m").repartition("component").sortWithinPartitions("component", "at", "id")
+    led = dealt.mapInArrow(_leader_pass, _LED)
     led = stored(led.join(reports.select("id", "disaster_type"), "id"), "leader")
     heads = led.filter("id = first_id").select("first_at", "first_id", F.col("disaster_type").alias("event_type"), "center_lat", "center_lon", "uncertainty_radius_m", "n")
     named = ranked(heads, [F.col("first_at"), F.col("first_id")], "place")

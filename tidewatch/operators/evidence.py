@@ -81,8 +81,13 @@ def contradiction_groups(members: DataFrame) -> DataFrame:
 
 
 def image_analysis_join(media: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Add ``analysis`` by phash: one analysis for each image; a missing one is not analysed."""
-    once = analyses.groupBy(F.lower("phash").alias("phash")).agg(F.first("analysis").alias("analysis"))
+    """Add ``analysis`` by phash: one analysis for each image; a missing one is not analysed.
+
+    The first stored one counts, by ``stored_at`` where there is such a column; what is left open falls to the smaller
+    phash as written and then to the smaller analysis as JSON, so every run takes the same.
+    """
+    order = [F.col(c) for c in ("stored_at",) if c in analyses.columns] + [F.col("phash"), F.to_json("analysis")]
+    once = analyses.groupBy(F.lower("phash").alias("phash")).agg(F.min_by("analysis", F.struct(*order)).alias("analysis"))
     met = media.withColumn("phash", F.lower("phash")).join(once, "phash", "left")
     return met.withColumn("analysis", F.when(F.col("phash").isNotNull(), F.coalesce("analysis", failed_analysis("no vision provider configured"))))
 

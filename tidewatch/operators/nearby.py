@@ -23,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch import constants as C
@@ -144,12 +145,8 @@ def tight_groups(pins: DataFrame) -> DataFrame:
         kinds = [pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 4]
         names = [c.split()[0] for c in schema.split(", ")]
         rows = []
-        for group in runs(batches, len(_CELL)):
-            if group.num_rows < C.NEARBY_MIN_SAMPLES:
-                continue
+        for group in runs(batches, len(_CELL), C.NEARBY_MIN_SAMPLES, "home"):
             values = [group.column(c).to_numpy() for c in (*columns, "home")]
-            if not values[-1].any():
-                continue
             kind = group.column("type")[0].as_py()
             for row in tight_in_cell(*values):
                 rows.append((kind, *row))
@@ -163,11 +160,26 @@ def tight_groups(pins: DataFrame) -> DataFrame:
     return dealt.mapInArrow(found, schema)
 
 
-def _largest(groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame:
+def _largest(groups: DataFrame, keys: list[str]) -> DataFrame:
     """By key the largest set (best) and, from the other end of the order of sets, the largest again (last)."""
     return groups.groupBy(*keys).agg(F.max("best").alias("best"), F.max("last").alias("last"))
 
 
+def _candidates(pins: DataFrame, moments: DataFrame) -> DataFrame:
+    """type, at, k: how many pins are within the window of each moment; those without any are left out."""
+    end = lambda shift, kind: moments.select("type", (F.col("at") + shift).alias("place"), F.lit(kind).alias("kind"), F.lit(0).alias("pin"), "at")
+    marks = pins.select("type", F.col("at").alias("place"), F.lit(1).alias("kind"), F.lit(1).alias("pin"), F.lit(None).cast("long").alias("at"))
+    marks = marks.unionByName(end(-WINDOW, 0)).unionByName(end(WINDOW, 2))
+    dealt = stored(marks.repartitionByRange("type", "place", "kind").withColumn("part", F.spark_partition_id()), "nearby-marks")
+    held = dealt.groupBy("type", "part").agg(F.sum("pin").alias("held"))
+    before = F.sum("held").over(W.partitionBy("type").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    held = held.select("type", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum("pin").over(W.partitionBy("type", "part").orderBy("place", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ends = dealt.withColumn("inside", inside).filter("kind <> 1").join(held, ["type", "part"])
+    seen = F.col("inside") + F.col("before")
+    return ends.groupBy("type", "at").agg(F.sum(F.when(F.col("kind") == 2, seen).otherwise(-seen)).alias("k")).filter("k > 0")
+
+
 def inferred(pins: DataFrame, moments: DataFrame) -> DataFrame:
     """type, at, k (candidates), best (largest tight group, null if none) and tied (another one is as large) for each moment.
 
@@ -175,10 +187,7 @@ def inferred(pins: DataFrame, moments: DataFrame) -> DataFrame:
     """
     node = ["type", "size", "start"]
     looks = moments.select("type", "at", F.explode(_above(F.col("at"))).alias("x")).select("type", "at", "x.*")
-    times = pins.filter("type IS NOT NULL AND at IS NOT NULL").groupBy("type", "at").agg(F.count("*").alias("k"))
-    spans = times.select("type", "k", F.explode(_cover(F.col("at") - WINDOW, F.col("at") + WINDOW + 1)).alias("x")).select("type", "k", "x.*")
-    counts = spans.groupBy(*node).agg(F.sum("k").alias("k"))
-    k = looks.join(counts, node).groupBy("type", "at").agg(F.sum("k").alias("k"))
+    k = _candidates(pins.filter("type IS NOT NULL AND at IS NOT NULL"), moments)
     best = F.struct("n", "one", "two", "lat", "lon", "spread", "reach").alias("best")
     last = F.struct("n", F.bitwise_not("one").alias("one"), F.bitwise_not("two").alias("two")).alias("last")
     groups = tight_groups(pins).select("type", F.explode(_cover(F.col("lo"), F.col("hi"))).alias("x"), best, last).select("type", "x.*", "best", "last")

@@ -156,7 +156,7 @@ WITH: dict[str, str] = {
     "found": f"""SELECT *, {_hazard} AS hazard,
   CASE WHEN regexp_matches(claim, {_p(C.TRAPPED_VERBS)}) THEN list_max(list_transform(regexp_extract_all(claim, {_p(C.TRAPPED_COUNT)}, 1), lambda t: {_numbers})) END AS trapped,
   {_needs} AS needs, regexp_matches(claim, {_p(C.ACCESS_IMPEDIMENT)}) AS access, nullif(regexp_extract(claim, {_p(C.TIME_HINT)}, 0), '') AS hint,
-  regexp_matches(claim, {_p(C.NOISE_ONLY)}) OR regexp_matches(claim, {_p(C.NOISE_START)}) AS noise,
+  regexp_matches(claim, {_p(C.NOISE)}) AS noise,
   coalesce({_words(_title(0))}, {_words(_title(1))}, {_words(_title(2))}) AS named,
   regexp_replace(array_to_string(list_filter(regexp_split_to_array(regexp_split_to_array(nullif(regexp_extract(claim, {_p(C.PREPOSITION_LANDMARK)}, 1), ''), {_p(C.CLAUSE_WORD)})[1], '\\s+'), lambda w: w <> '')[1:4], ' '), '^[ .,;:-]+|[ .,;:-]+$', '', 'g') AS cut
 FROM claims""",

@@ -1053,7 +1053,8 @@ def _photos(spark, d):
         fs.create_dir(at, recursive=True)
         for batch in batches:
             for r in batch.to_pylist():
-                v = np.asarray((r["embedding"] + [0.0] * 64)[:64])
+                e = np.nan_to_num(np.asarray(r["embedding"] or [0.0], np.float64))
+                v = np.bincount(np.arange(len(e)) % 64, weights=e, minlength=64)  # all components, 64 of them to a picture
                 grey = np.kron(np.clip((v - v.min()) / max(float(np.ptp(v)), 1e-9) * 255, 0, 255).reshape(8, 8), np.ones((8, 8))).astype(np.uint8)
                 kind, body = {0: ("gif", png(grey)), 1: ("png", b"broken"), 2: ("jpg", b"")}.get(r["vec_id"] % 20, ("png", png(grey)))
                 with fs.open_output_stream(f"{at}/v{r['vec_id']:08d}.{kind}") as out:
@@ -1064,7 +1065,7 @@ def _photos(spark, d):
     return root
 
 
-@query("""SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') || CASE vec_id % 20 WHEN 0 THEN '.gif' WHEN 2 THEN '.jpg' ELSE '.png' END AS name, CASE vec_id % 20 WHEN 0 THEN 'unsupported type' WHEN 1 THEN 'undecodable' END AS reason FROM embeddings WHERE vec_id % 20 <> 2""")
+@query("""SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') || CASE vec_id % 20 WHEN 0 THEN '.gif' WHEN 2 THEN '.jpg' ELSE '.png' END AS name, CASE vec_id % 20 WHEN 0 THEN 'unsupported type' WHEN 1 THEN 'undecodable' WHEN 2 THEN 'empty file' END AS reason FROM embeddings""")
 def media_manifest(spark, d):
     from tidewatch.sources.media import media_manifest as manifest
 

@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import constants as C
+from tidewatch.sources.storage import stored
 
 
 def is_remote(url: Column) -> Column:
@@ -17,21 +19,61 @@ def is_remote(url: Column) -> Column:
     return F.coalesce(url.contains("://"), F.lit(False))
 
 
+def _filesystem(root: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a root (a local path or a URI) and the path in it."""
+    if "://" not in root or root.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(root)
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """path (below ``root``), length of every file there, those of no bytes too, which Spark's readers pass over.
+
+    Folders are listed in tasks, a level of the tree at a time: a task lists whole folders. What is on the
+    driver is the list of folders of a level only.
+    """
+    below, found = [""], None
+
+    def listed(batches):
+        fs, base = _filesystem(root)
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                infos = [i for i in fs.get_file_info(pafs.FileSelector(f"{base}/{at}".rstrip("/"))) if not i.base_name.startswith((".", "_"))]
+                columns = [[f"{at}/{i.base_name}".lstrip("/") for i in infos], [i.size or 0 for i in infos], [i.type == pafs.FileType.Directory for i in infos]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.bool_()))], names=["path", "length", "folder"])
+
+    while below:
+        folders = spark.createDataFrame([(p,) for p in below], "path string").repartition(min(len(below), 4 * spark.sparkContext.defaultParallelism))
+        level = stored(folders.mapInArrow(listed, "path string, length long, folder boolean"), "listing")
+        files = level.filter("NOT folder").select("path", "length")
+        found = files if found is None else found.unionByName(files)
+        below = [r["path"] for r in level.filter("folder").select("path").toLocalIterator()]
+    return found
+
+
+def _below(c: Column, root: str) -> Column:
+    """A file's path below the root, whatever scheme it is written with; the readers' paths may be encoded."""
+    plain = root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
+    return F.substring(c, F.locate(plain, c) + len(plain), F.length(c))
+
+
 def media_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """name, length, reason: files under ``path`` and why one is not accepted (null: accepted).
+    """path (below ``path``), name, length, reason: all files there and why one is not accepted (null: accepted).
 
-    What the JVM's image reader can't decode, webp among it, is ``undecodable``. Spark's file
-    readers pass over files of no bytes, so these are not listed and never accepted.
+    What the JVM's image reader can't decode, webp among it, is ``undecodable``. Files are told apart by
+    their whole path. Hidden files (``.`` or ``_`` in front) are passed over, as Spark's readers do.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     seen = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select(F.col("image.origin").alias("origin"))
-    name = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
-    met = files.withColumn("name", name("path")).join(seen.select(name("origin").alias("name"), F.lit(True).alias("decoded")), "name", "left")
+    decoded = seen.select(_below(F.try_url_decode(F.regexp_replace("origin", "\\+", "%2B")), path).alias("path"), F.lit(True).alias("decoded"))
+    met = _listed(spark, path.rstrip("/")).join(decoded, "path", "left").withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
     kind = F.lower(F.regexp_extract("name", "\\.([^.]+)$", 1))
     reason = (
-        F.when(~kind.isin(C.MEDIA_EXTENSIONS), "unsupported type").when(F.col("length") > C.MEDIA_MAX_BYTES, "too large").when(F.col("decoded").isNull(), "undecodable")
+        F.when(~kind.isin(C.MEDIA_EXTENSIONS), "unsupported type")
+        .when(F.col("length") == 0, "empty file")
+        .when(F.col("length") > C.MEDIA_MAX_BYTES, "too large")
+        .when(F.col("decoded").isNull(), "undecodable")
     )
-    return met.select("name", "length", reason.alias("reason"))
+    return met.select("path", "name", "length", reason.alias("reason"))
 
 
 _DCT = np.array([[math.cos(math.pi * k * (2 * n + 1) / 64) for n in range(32)] for k in range(8)])
@@ -52,19 +94,20 @@ def phash(grey: np.ndarray) -> str:
 
 
 def phash_images(spark: SparkSession, path: str) -> DataFrame:
-    """name, phash of every decodable image under ``path``."""
+    """path (below ``path``), name, phash of every decodable image there."""
     images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
-    pixels = images.select(F.regexp_extract("image.origin", "([^/]+)$", 1).alias("name"), "image.height", "image.width", "image.nChannels", "image.data")
+    at = _below(F.try_url_decode(F.regexp_replace("image.origin", "\\+", "%2B")), path)
+    pixels = images.select(at.alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
     def hashed(batches):
         for batch in batches:
-            names, hashes = [], []
+            paths, hashes = [], []
             for r in batch.to_pylist():
                 cube = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"]).astype(np.float64)
                 # Stored as blue, green, red.
                 grey = cube[:, :, 0] if r["nChannels"] == 1 else cube[:, :, :3] @ np.array([0.114, 0.587, 0.299])
-                names.append(r["name"])
+                paths.append(r["path"])
                 hashes.append(phash(grey))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(hashes)], names=["name", "phash"])
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(hashes)], names=["path", "phash"])
 
-    return pixels.mapInArrow(hashed, "name string, phash string")
+    return pixels.mapInArrow(hashed, "path string, phash string").select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "phash")
