@@ -6,18 +6,19 @@ so no text can make one. A text that holds a control string gets an escape in fr
 is encoded, so that the formatted text, too, can be read only one way: an escape goes in front of each
 occurrence, behind any that stand there already, and reading takes one off again.
 
-1. The scan escapes and encodes each text alone (``byte_bpe``) and puts the ids of its turn around it.
-2. Turns are dealt by range of (conversation, turn) and sorted there, so a conversation as long as a
-   third of all rows spans tasks. Each task strings the turns of a conversation together in parts of up
-   to ``PART`` tokens; a conversation within that, and within one task, is one row. The loss mask
-   of a whole batch is a difference of two prefix sums: learned turns opened before, less those closed.
+1. Turns are dealt by range of (conversation, turn) and sorted there, so a conversation as long as a
+   third of all rows spans tasks. They are dealt before they are encoded: Spark samples what it deals by range.
+2. Each text is escaped and encoded alone (``byte_bpe``), with the reserved ids of its turn around it. The
+   turns of a conversation are strung together in parts of up to ``PART`` tokens; a conversation within that,
+   and within one task, is one row. The loss mask of a whole batch is a difference of two prefix sums: learned
+   turns opened before, less those closed.
 3. Reading gets the parts of a conversation in order. What it holds is one part and running digests.
 
 A SHA-256 has to pass over its input in order, so the digests of a conversation are one task's work,
 in a stream; everything else is spread.
 
 Cases: a null text and a null role are empty; roles that the template does not know are kept by name; a
-null conv_id is a conversation, a null turn comes first, equal turns stand in order of role and ids, repeated
+null conv_id is a conversation, a null turn comes first, equal turns stand in order of role and text, repeated
 rows are all turns; texts are encoded whole, however long; an empty table gives an empty result; other
 columns, whatever their names, are passed over.
 """
@@ -79,34 +80,25 @@ class Template:
 LLAMA_LIKE = Template()
 
 
-def _encoded(convs: DataFrame, ranks: str, template: Template) -> DataFrame:
-    """conv_id, turn, role, ids: the ids of each turn, its control strings among them."""
-    names = list(template.marks)
-
-    def encode(batches):
-        m = merger(ranks)
-        base = len(m.lengths)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                roles = [r or "" for r in part.column(2).to_pylist()]
-                bodies = m.encode([template.escaped(t or "") for t in part.column(3).to_pylist()])
-                others = [k for k, r in enumerate(roles) if r not in template.marks]
-                named = dict(zip(others, m.encode([template.escaped(roles[k]) for k in others])))
-                turns = []
-                for k, (role, body) in enumerate(zip(roles, bodies)):
-                    if k in named:
-                        first = base + 2 * len(names)
-                        turns.append(np.concatenate([[first], named[k], [first + 1], body, [first + 2]]))
-                    else:
-                        first = base + 2 * names.index(role)
-                        turns.append(np.concatenate([[first], body, [first + 1]]))
-                ids = pa.array([t.astype("<i4") for t in turns], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(roles), ids], names=["conv_id", "turn", "role", "ids"])
-        common.release()
-
-    rows = convs.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(encode, "conv_id long, turn long, role string, ids array<int>")
+def _encoded(batches: Iterator[pa.RecordBatch], m: Merger, template: Template) -> Iterator[pa.RecordBatch]:
+    """conv_id, ids of each turn (conv_id, role, text), its control strings among them."""
+    names, base = list(template.marks), len(m.lengths)
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(at, _ROWS)
+            roles = part.column(1).to_pylist()
+            bodies = m.encode([template.escaped(t) for t in part.column(2).to_pylist()])
+            others = [k for k, r in enumerate(roles) if r not in template.marks]
+            named = dict(zip(others, m.encode([template.escaped(roles[k]) for k in others])))
+            turns = []
+            for k, (role, body) in enumerate(zip(roles, bodies)):
+                if k in named:
+                    first = base + 2 * len(names)
+                    turns.append(np.concatenate([[first], named[k], [first + 1], body, [first + 2]]))
+                else:
+                    first = base + 2 * names.index(role)
+                    turns.append(np.concatenate([[first], body, [first + 1]]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.astype("<i4") for t in turns], pa.list_(pa.int32()))], names=["conv_id", "ids"])
 
 
 def loss_mask(ids: np.ndarray, base: int, template: Template) -> np.ndarray:
@@ -120,7 +112,8 @@ def formatted(convs: DataFrame, ranks: str, template: Template = LLAMA_LIKE, par
     """conv_id, part (ascends in a conversation), n_turns, ids array<int>, loss array<boolean>."""
 
     def assemble(batches):
-        base = len(merger(ranks).lengths)
+        m = merger(ranks)
+        base = len(m.lengths)
 
         def rows(table: pa.Table, last: bool):
             """Parts of what the table holds, and its tail that may go on."""
@@ -144,17 +137,18 @@ def formatted(convs: DataFrame, ranks: str, template: Template = LLAMA_LIKE, par
             return batch.slice(cuts[-1]) if open_ else None
 
         rest = None
-        for batch in batches:
+        for batch in _encoded(batches, m, template):
             if batch.num_rows:
-                now = pa.Table.from_batches([batch.select(["conv_id", "ids"])])
+                now = pa.Table.from_batches([batch])
                 rest = yield from rows(now if rest is None else pa.concat_tables([rest, now]), False)
         if rest is not None:
             yield from rows(rest, True)
         common.release()
 
-    order = ["conv_id", "turn", "role", "ids"]
-    turns = _encoded(convs, ranks, template).repartitionByRange("conv_id", "turn").sortWithinPartitions(*order)
-    parts = turns.select("conv_id", "ids").mapInArrow(assemble, "conv_id long, n_turns long, ids array<int>, loss array<boolean>")
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    rows_ = convs.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *said)
+    dealt = rows_.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
+    parts = dealt.select("conv_id", "role", "text").mapInArrow(assemble, "conv_id long, n_turns long, ids array<int>, loss array<boolean>")
     return parts.select("conv_id", F.monotonically_increasing_id().alias("part"), "n_turns", "ids", "loss")
 
 
