@@ -106,13 +106,14 @@ def normalize_timestamp(spark, d):
 
 @query("SELECT DISTINCT 'archive_' || phash AS source, phash FROM reports WHERE phash IS NOT NULL", ("reports",))
 def load_known_hashes(spark, d):
-    """A registry of all images, written as a JSON file and loaded again."""
-    from tidewatch.sources.storage import shared_dir
+    """A registry of all images, written as JSON files of some thousand images each and loaded again."""
+    from tidewatch.sources.storage import shared_dir, stored
 
     path = shared_dir(spark, "registry")
-    shown = X.reports(spark, d).filter("phash IS NOT NULL").select(F.concat(F.lit("archive_"), "phash").alias("source"), "phash").distinct()
-    rows = shown.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("source", "phash")))).alias("value"))
-    rows.write.text(path)
+    shown = stored(X.reports(spark, d).filter("phash IS NOT NULL").select(F.concat(F.lit("archive_"), "phash").alias("source"), "phash").distinct(), "shown")
+    part = F.pmod(F.xxhash64("source"), F.lit(shown.count() // 2000 + 1)).alias("part")
+    rows = shown.groupBy(part).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("source", "phash")))).alias("value"))
+    rows.write.partitionBy("part").text(path)  # a part is one row, so a file is one object
     return intake.load_known_hashes(spark, path)
 
 
@@ -1083,10 +1084,10 @@ def phash_images(spark, d):
 
 
 def _as_stream(spark, df, files: int = 2, end: dict | None = None):
-    """The rows as a file stream, oldest first: ``files`` files, one in a micro-batch.
+    """The rows as a file stream, oldest first, in ``files`` micro-batches.
 
-    The source takes files by modification time, so each is written when the one before is
-    there. ``end`` gives the columns of a last row, a day after all others in a file of its
+    The source takes files by modification time, so what belongs to a batch is written when all before is
+    there, by parallel tasks: a file for every thousand rows up to one for each core, as many in each batch. ``end`` gives the columns of a last row, a day after all others in a file of its
     own, which moves the watermark past them; its own result stays open, so it is never given.
     """
     from tidewatch.sources.storage import shared_dir, stored
@@ -1094,13 +1095,14 @@ def _as_stream(spark, df, files: int = 2, end: dict | None = None):
     path, rows = shared_dir(spark, "stream"), stored(df, "replay")
     cuts = rows.agg(F.percentile_approx(F.unix_micros("ts"), [k / files for k in range(1, files)], 10_000).alias("c")).first()["c"] or []
     at, bounds = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 63))), [None, *cuts, None]
+    each = max(1, min(spark.sparkContext.defaultParallelism, rows.count() // (1000 * files)))
     for low, high in zip(bounds, bounds[1:]):
         part = rows if low is None else rows.filter(at >= low)
-        (part if high is None else part.filter(at < high)).coalesce(1).write.mode("append").parquet(path)
+        (part if high is None else part.filter(at < high)).repartition(each).write.mode("append").parquet(path)
     if end is not None:
         last = rows.filter("ts IS NOT NULL").orderBy(F.desc("ts")).limit(1)
         last.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 1 DAY")} | {k: F.lit(v) for k, v in end.items()}).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def _run(spark, out, mode="append"):
