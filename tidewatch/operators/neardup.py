@@ -7,14 +7,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from tidewatch import constants as C
 from tidewatch.functions import text
 from tidewatch.operators.components import connected_components
+from tidewatch.operators.runs import runs
 from tidewatch.sources.storage import stored
 
 # ------------------------------------------------------------ texts
@@ -26,36 +27,124 @@ def exact_text_groups(members: DataFrame) -> DataFrame:
     return normed.groupBy("cluster_id", "norm").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-@F.pandas_udf(BooleanType())
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The ratio test; it is not symmetric, so a must be the earlier text."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() >= C.NEAR_DUPLICATE_RATIO for x, y in zip(a, b)], dtype="bool")
+#: Texts of a block; a cluster's texts of about one length are dealt to blocks, and blocks meet in pairs.
+BLOCK = 1024
+BLOCK_CHARS = 4_000_000
+#: Buckets of the counts of characters, pairs and triples of characters. Texts in one bucket by chance share more, never less.
+BUCKETS = {1: 256, 2: 1024, 3: 1024}
 
 
-def _letter_counts(norm: Column) -> Column:
-    """Counts of the commonest characters, for a bound on what two texts can share."""
-    return F.array(*[F.length(norm) - F.length(F.translate(norm, c, "")) for c in "abcdefghijklmnopqrstuvwxyz "])
+def _gram_counts(texts: list[str], q: int) -> np.ndarray:
+    """A row for each text: how many of its q-grams fall in each bucket."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in texts])
+    mixed = np.zeros(max(len(codes) - q + 1, 0), np.uint64)
+    for k in range(q):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(mixed)]
+    if q > 1:
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    whole = row[: len(mixed)] == row[q - 1 : q - 1 + len(mixed)]
+    at = row[: len(mixed)][whole] * BUCKETS[q] + (mixed[whole] % np.uint64(BUCKETS[q])).astype(np.int64)
+    return np.bincount(at, minlength=len(texts) * BUCKETS[q]).reshape(len(texts), BUCKETS[q]).astype(np.float32)
+
+
+def _shared_least(total: np.ndarray, q: int) -> np.ndarray:
+    """How many q-grams two texts of ``total`` characters have in common if their ratio is reached.
+
+    A ratio r matches M >= r * total / 2 characters in blocks. Between two blocks at least one
+    character is unmatched, so there are at most total - 2 * M + 1 of them, and each of them has
+    q - 1 fewer q-grams than characters.
+    """
+    matched = np.ceil(C.NEAR_DUPLICATE_RATIO * total / 2 - 1e-9)
+    return matched - (q - 1) * (total - 2 * matched + 1)
+
+
+def _compared_blocks(batches):
+    """Pairs of texts of two blocks that the count filter leaves, with the verdict of the ratio."""
+    names = ["cluster_id", "a", "b", "similar"]
+    for run in runs(batches, 5, least=2):
+        side = run.column("side").to_numpy()
+        texts, ids, times = (run.column(n).to_pylist() for n in ("norm", "id", "at"))
+        left = np.flatnonzero(side == 0)
+        right = left if not run.column("cross")[0].as_py() and run.column("i")[0].as_py() == run.column("j")[0].as_py() else np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            continue
+        counts = {q: _gram_counts(texts, q) for q in BUCKETS}
+        sizes = np.array([len(t) for t in texts], np.float64)
+        total = sizes[left][:, None] + sizes[right][None, :]
+        # A product of counts is no less than the smaller of them.
+        near = (counts[3][left] @ counts[3][right].T >= _shared_least(total, 3)) & (2 * np.minimum(sizes[left][:, None], sizes[right][None, :]) >= C.NEAR_DUPLICATE_RATIO * total - 1e-9)
+        x, y = np.nonzero(near)
+        x, y = left[x], right[y]
+        if right is left:
+            x, y = x[x < y], y[x < y]
+        for q, rows in counts.items():
+            least = _shared_least(sizes[x] + sizes[y], q)
+            both = [np.minimum(rows[x[k : k + 4096]], rows[y[k : k + 4096]]).sum(axis=1) for k in range(0, len(x), 4096)]
+            kept = np.concatenate(both) >= least if both else np.zeros(0, bool)
+            x, y = x[kept], y[kept]
+        # The ratio is not symmetric: the earlier text is the first. What it knows of the second serves all that meet it.
+        pairs = sorted(((u, v) if (times[u], ids[u]) < (times[v], ids[v]) else (v, u) for u, v in zip(x.tolist(), y.tolist())), key=lambda p: p[1])
+        matcher, last, out = SequenceMatcher(), None, []
+        for u, v in pairs:
+            if v != last:
+                matcher.set_seq2(texts[v])
+                last = v
+            matcher.set_seq1(texts[u])
+            out.append(matcher.ratio() >= C.NEAR_DUPLICATE_RATIO)
+        if out:
+            columns = [run.column("cluster_id").slice(0, 1).combine_chunks().take(pa.array([0] * len(out))), pa.array([ids[u] for u, _ in pairs]), pa.array([ids[v] for _, v in pairs]), pa.array(out)]
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=names)
+
+
+def compared_texts(members: DataFrame) -> DataFrame:
+    """cluster_id, a, b, similar: the pairs that ``near_duplicate_pairs`` holds against the ratio, and what it says.
+
+    Texts of a cluster whose lengths allow the ratio fall in one step of a geometric scale or in two
+    neighbouring ones. Each step is dealt to blocks of about ``BLOCK`` texts (fewer, if long) and each pair of
+    blocks is a unit of work of bounded size, so a hot cluster is spread over all tasks. In it one matrix
+    product of triple counts bounds what all its pairs share, the exact smaller counts of
+    characters, pairs and triples follow, and only what passes is compared. No pair that reaches the ratio is lost.
+    """
+    normed = members.withColumn("norm", text.normalize_text(F.col("raw_text"))).filter(F.length("norm") >= C.MIN_TEXT_LENGTH)
+    step = F.floor(F.log(F.length("norm").cast("double")) / F.log(F.lit(2 / C.NEAR_DUPLICATE_RATIO - 1))).cast("long")
+    texts = stored(normed.groupBy("cluster_id", "norm").agg(F.min(F.struct("ts", "id")).alias("pos")).withColumn("step", step), "texts")
+    sized = texts.groupBy("cluster_id", "step").agg(F.count("*").alias("n"), F.sum(F.length("norm")).alias("chars"))
+    blocks = stored(sized.select("cluster_id", "step", "n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("long").alias("blocks")), "text-blocks")
+    above = blocks.select("cluster_id", (F.col("step") - 1).alias("step"), F.col("blocks").alias("above"))
+    below = blocks.select("cluster_id", (F.col("step") + 1).alias("step"), F.col("blocks").alias("below"))
+    around = blocks.join(above, ["cluster_id", "step"], "left").join(below, ["cluster_id", "step"], "left").filter("n > 1 OR above IS NOT NULL OR below IS NOT NULL")
+    placed = texts.join(around, ["cluster_id", "step"]).withColumn("mine", F.pmod(F.xxhash64("norm"), F.col("blocks")))
+
+    def meets(cross: bool, side: int, first: Column, last: Column) -> Column:
+        """A key for each block from ``first`` to ``last`` that a text's own meets on that side; none where there is no last."""
+        pair = lambda o: (F.col("mine"), o) if side == 0 else (o, F.col("mine"))
+        low = F.col("step") - 1 if cross and side else F.col("step")
+        key = lambda o: F.struct(low.alias("low"), F.lit(cross).alias("cross"), pair(o)[0].alias("i"), pair(o)[1].alias("j"), F.lit(side).alias("side"))
+        return F.when(first <= last, F.transform(F.sequence(first, last), key)).otherwise(F.array())
+
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    keys = F.concat(
+        meets(False, 0, F.col("mine"), F.col("blocks") - one), meets(False, 1, zero, F.col("mine") - one),
+        meets(True, 0, zero, F.col("above") - one), meets(True, 1, zero, F.col("below") - one),
+    )
+    at = F.coalesce(F.unix_micros("pos.ts"), F.lit(-(1 << 63)))
+    dealt = placed.select("cluster_id", F.explode(keys).alias("k"), F.col("pos.id").alias("id"), at.alias("at"), "norm").select("cluster_id", "k.low", "k.cross", "k.i", "k.j", "k.side", "id", "at", "norm")
+    key = ["cluster_id", "low", "cross", "i", "j"]
+    # A number of its own: by bytes alone few tasks would get all the work.
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = members.schema["cluster_id"].dataType.simpleString()
+    return dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_compared_blocks, f"cluster_id {kind}, a string, b string, similar boolean")
 
 
 def near_duplicate_pairs(members: DataFrame) -> DataFrame:
     """cluster_id, a, b: distinct normalised texts of a cluster that are near-duplicates, earlier first.
 
     Copies are one text, known by its first member in order of (ts, id), so groups of copies
-    make no pairs. Lossless bounds on length and on shared characters come before the ratio.
+    make no pairs. Lossless bounds on length and on shared q-grams come before the ratio (``compared_texts``).
     """
-    order = F.struct("ts", "id")
-    normed = members.withColumn("norm", text.normalize_text(F.col("raw_text"))).filter(F.length("norm") >= C.MIN_TEXT_LENGTH)
-    texts = stored(normed.groupBy("cluster_id", "norm").agg(F.min(order).alias("pos")).withColumn("letters", _letter_counts(F.col("norm"))).withColumn("size", F.length("norm")), "texts")
-    # Lengths within the bound fall in the same or the next step of a geometric scale.
-    step = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(2 / C.NEAR_DUPLICATE_RATIO - 1))).cast("long")
-    left = texts.withColumn("step", step).select("cluster_id", "norm", "pos", "letters", "size", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    right = texts.withColumn("step", step).select("cluster_id", "step", F.col("norm").alias("norm_b"), F.col("pos").alias("pos_b"), F.col("letters").alias("letters_b"), F.col("size").alias("size_b"))
-    total, bound = F.col("size") + F.col("size_b"), F.lit(C.NEAR_DUPLICATE_RATIO)
-    shared = F.aggregate(F.zip_with("letters", "letters_b", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
-    others = (F.col("size") - F.aggregate("letters", F.lit(0), lambda a, x: a + x), F.col("size_b") - F.aggregate("letters_b", F.lit(0), lambda a, x: a + x))
-    met = left.join(right, ["cluster_id", "step"]).filter(F.col("pos") < F.col("pos_b"))
-    met = met.filter(2 * F.least("size", "size_b") >= bound * total).filter(2 * (shared + F.least(*others)) >= bound * total)
-    return met.filter(_similar(F.col("norm"), F.col("norm_b"))).select("cluster_id", F.col("pos.id").alias("a"), F.col("pos_b.id").alias("b"))
+    return compared_texts(members).filter("similar").select("cluster_id", "a", "b")
 
 
 def group_duplicate_texts(members: DataFrame) -> DataFrame:
