@@ -117,3 +117,73 @@ def test_one_analysis_of_an_image_in_every_run(spark):
     media = spark.createDataFrame([("Ab",), ("cd",), (None,)], "phash string")
     got = evidence.image_analysis_join(media, rows.repartition(6)).collect()
     assert len(got) == 3 and sum(r["analysis"] is None for r in got) == 1
+
+
+def _exif_block(turn: int, order: str) -> bytes:
+    import struct
+
+    e = "<" if order == "II" else ">"
+    entries = struct.pack(e + "HHIHH", 0x010F, 3, 1, 9, 0) + struct.pack(e + "HHIHH", 0x0112, 3, 1, turn, 0)
+    return order.encode() + struct.pack(e + "HIH", 42, 8, 2) + entries + struct.pack(e + "I", 0)
+
+
+#: How a picture is stored under each orientation (EXIF 2.3): what its first row and first column are.
+STORED = {
+    1: lambda m: m, 2: np.fliplr, 3: lambda m: np.rot90(m, 2), 4: np.flipud, 5: np.transpose,
+    6: lambda m: np.rot90(m, 1), 7: lambda m: np.rot90(m, 2).T, 8: lambda m: np.rot90(m, -1),
+}
+
+
+def test_eight_orientations_of_a_photo_have_one_hash(spark, tmp_path):
+    import struct
+    import zlib
+
+    r = np.random.default_rng(3)
+    photo = np.kron(r.integers(0, 255, (8, 12)), np.ones((8, 8))).astype(np.uint8)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    for turn, kept in STORED.items():
+        grey = np.ascontiguousarray(kept(photo))
+        head = chunk(b"IHDR", struct.pack(">IIBBBBB", grey.shape[1], grey.shape[0], 8, 0, 0, 0, 0))
+        rows = chunk(b"IDAT", zlib.compress(b"".join(b"\0" + x.tobytes() for x in grey)))
+        exif = chunk(b"eXIf", _exif_block(turn, "MM" if turn % 2 else "II"))
+        (tmp_path / f"t{turn}.png").write_bytes(b"\x89PNG\r\n\x1a\n" + head + exif + rows + chunk(b"IEND", b""))
+        (tmp_path / f"plain{turn}.png").write_bytes(b"\x89PNG\r\n\x1a\n" + head + rows + chunk(b"IEND", b""))
+        assert (media.upright(kept(photo), turn) == photo).all()
+    got = {x["name"]: x["phash"] for x in media.phash_images(spark, str(tmp_path)).collect()}
+    assert len(got) == 16 and {got[f"t{k}.png"] for k in STORED} == {got["plain1.png"]}
+    assert len({got[f"plain{k}.png"] for k in STORED}) == 8
+
+
+def test_exif_of_a_jpeg():
+    import io
+
+    block = lambda kind, body: b"\xff" + bytes([kind]) + (len(body) + 2).to_bytes(2, "big") + body
+    jpeg = lambda *parts: io.BytesIO(b"\xff\xd8" + b"".join(parts) + b"\xff\xda\0\2xyz")
+    exif = block(0xE1, b"Exif\0\0" + _exif_block(6, "II"))
+    read = lambda f: media.orientation(media._exif(f))
+    assert read(jpeg(block(0xE0, b"JFIF\0"), exif)) == 6
+    assert read(jpeg(block(0xE1, b"http://ns.adobe.com/xap"), b"\xff", exif)) == 6
+    assert read(jpeg(block(0xE0, b"JFIF\0"))) == 1 and read(io.BytesIO(b"")) == 1 and read(io.BytesIO(b"GIF89a")) == 1
+    for cut in range(30):
+        assert media.orientation(_exif_block(6, "MM")[:cut]) == 1
+    assert media.orientation(_exif_block(9, "MM")) == 1
+
+
+def test_hashes_of_the_query_are_those_of_its_pictures(spark):
+    import os
+
+    import pytest
+
+    from tidewatch.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    want = {}
+    for x in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect():
+        e = np.nan_to_num(np.asarray(x["embedding"] or [0.0], np.float64))
+        v = np.bincount(np.arange(len(e)) % 64, weights=e, minlength=64)
+        picture = np.kron(np.clip((v - v.min()) / max(float(np.ptp(v)), 1e-9) * 255, 0, 255).reshape(8, 8), np.ones((8, 8))).astype(np.uint8)
+        if x["vec_id"] % 20 not in (1, 2):
+            want[f"v{x['vec_id']:08d}." + ("gif" if x["vec_id"] % 20 == 0 else "png")] = media.phash(picture)
+    assert {x["name"]: x["phash"] for x in queries.QUERIES["phash_images"](spark, sf).collect()} == want

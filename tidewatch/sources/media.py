@@ -93,21 +93,77 @@ def phash(grey: np.ndarray) -> str:
     return "".join(f"{int(''.join('1' if b else '0' for b in bits[k : k + 4]), 2):x}" for k in range(0, 64, 4))
 
 
+def _exif(file) -> bytes:
+    """The EXIF block of a JPEG or PNG file (empty: none); reads headers only and seeks over the rest."""
+    start = file.read(8)
+    if start[:2] == b"\xff\xd8":
+        file.seek(2)
+        while len(head := file.read(4)) == 4 and head[0] == 0xFF:
+            if head[1] == 0xFF:  # filling
+                file.seek(file.tell() - 3)
+                continue
+            size = int.from_bytes(head[2:], "big") - 2
+            if head[1] in (0xD9, 0xDA) or size < 0:  # the picture begins, or nothing follows
+                break
+            if head[1] == 0xE1 and (body := file.read(size))[:6] == b"Exif\0\0":
+                return body[6:]
+            if head[1] != 0xE1:
+                file.seek(file.tell() + size)
+    elif start == b"\x89PNG\r\n\x1a\n":
+        while len(head := file.read(8)) == 8 and head[4:] != b"IEND":
+            size = int.from_bytes(head[:4], "big")
+            if head[4:] == b"eXIf":
+                return file.read(size)
+            file.seek(file.tell() + size + 4)
+    return b""
+
+
+def orientation(exif: bytes) -> int:
+    """The orientation, 1 to 8, that an EXIF block gives; 1 where it gives none or is damaged."""
+    order = {b"II": "little", b"MM": "big"}.get(exif[:2])
+    if order is None:
+        return 1
+    number = lambda at, size: int.from_bytes(exif[at : at + size], order)
+    table = number(4, 4)
+    for at in range(table + 2, min(table + 2 + 12 * number(table, 2), len(exif) - 11), 12):
+        if number(at, 2) == 0x0112 and number(at + 2, 2) == 3:
+            return number(at + 8, 2) if 1 <= number(at + 8, 2) <= 8 else 1
+    return 1
+
+
+def upright(pixels: np.ndarray, turn: int) -> np.ndarray:
+    """The picture as it is meant to be seen: what its orientation says is undone."""
+    if turn >= 5:
+        pixels = pixels.swapaxes(0, 1)
+    # What is left after rows and columns are exchanged is a mirror of one or both.
+    if turn in (3, 4, 7, 8):
+        pixels = pixels[::-1]
+    if turn in (2, 3, 6, 7):
+        pixels = pixels[:, ::-1]
+    return pixels
+
+
 def phash_images(spark: SparkSession, path: str) -> DataFrame:
-    """path (below ``path``), name, phash of every decodable image there."""
+    """path (below ``path``), name, phash of every decodable image there, turned as its EXIF orientation says.
+
+    The JVM decodes pixels without turning them, so tasks read the header of each file once more.
+    """
     images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
     at = _below(F.try_url_decode(F.regexp_replace("image.origin", "\\+", "%2B")), path)
     pixels = images.select(at.alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
     def hashed(batches):
+        fs, base = _filesystem(path.rstrip("/"))
         for batch in batches:
             paths, hashes = [], []
             for r in batch.to_pylist():
                 cube = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"]).astype(np.float64)
                 # Stored as blue, green, red.
                 grey = cube[:, :, 0] if r["nChannels"] == 1 else cube[:, :, :3] @ np.array([0.114, 0.587, 0.299])
+                with fs.open_input_file(f"{base}/{r['path']}") as file:
+                    turn = orientation(_exif(file))
                 paths.append(r["path"])
-                hashes.append(phash(grey))
+                hashes.append(phash(upright(grey, turn)))
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(hashes)], names=["path", "phash"])
 
     return pixels.mapInArrow(hashed, "path string, phash string").select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "phash")
