@@ -89,3 +89,51 @@ def test_few_pairs_reach_the_ratio(spark):
 
 def test_no_texts(spark):
     assert neardup.near_duplicate_pairs(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_classes_over_the_corpus(spark):
+    """All links from 0.8 that brute force finds: recall of the bands, classes, and the odd rows."""
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(700):
+        if texts and r.random() < 0.7:
+            t = r.choice(texts).split()
+            for _ in range(r.choice([0, 1, 1, 2, 3, 6])):
+                t[r.randrange(len(t))] = r.choice(words)
+            texts.append(" ".join(t))
+        else:
+            texts.append(" ".join(r.choice(words) for _ in range(r.choice([40, 60, 120]))))
+    texts += [None, "", "!!", "two words", "Two, words!", " ".join(words * 50)]
+    rows = list(enumerate(texts))
+
+    def shingles(text):
+        t = neardup_words(text)
+        return frozenset(tuple(t[k : k + 5]) for k in range(max(len(t) - 4, 1))) if t else frozenset()
+
+    def neardup_words(text):
+        return "".join(c if c.isalnum() or c == "_" else " " for c in (text or "").lower()).split()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    want = set()
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            both = len(sets[a] & sets[b])
+            if both and both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+                want.add((a, b))
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    members, links = neardup.near_duplicate_lsh(spark.createDataFrame(rows, "id long, text string"))
+    got = {x["id"]: x["class_id"] for x in members.collect()}
+    assert set(got) == set(range(len(rows)))
+    linked = sum(got[a] == got[b] for a, b in want)
+    assert len(want) > 300 and linked >= 0.99 * len(want)
+    assert all(find(a) == find(b) for a, b in got.items())
+    assert {(min(x["a"], x["b"]), max(x["a"], x["b"])) for x in links.collect()} <= want

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.sources import media, reports, seed
-from tidewatch.sources.storage import ranked, shared_dir
+from tidewatch.sources.storage import names, ranked, shared_dir
 
 def now():
     return F.lit("2026-01-01").cast("timestamp")
@@ -59,6 +59,38 @@ def test_snapshots_and_evolution(spark):
     assert (got["id"], got["n"], got["s"]) == (0, 0, None)
 
 
+def test_two_writers_lose_no_change(spark):
+    """Both begin on one version; the second to come begins again on the winner's."""
+    from threading import Barrier, Thread
+
+    root, meet, calls, failed = shared_dir(spark, "commits"), Barrier(2), [], []
+    first = reports.commit_snapshot(spark, root, lambda base: {"t": spark.createDataFrame([(0,)], "n int")})
+
+    def writer(n):
+        def change(base):
+            calls.append((n, base))
+            rows = reports.read_snapshot(spark, base, "t").union(spark.createDataFrame([(n,)], "n int"))
+            if base == first:
+                meet.wait(60)
+            return {"t": rows}
+
+        try:
+            reports.commit_snapshot(spark, root, change, keep=2)
+        except BaseException as e:
+            failed.append(e)
+
+    both = [Thread(target=writer, args=(n,)) for n in (1, 2)]
+    [t.start() for t in both]
+    [t.join() for t in both]
+    newest = reports.newest_snapshot(spark, root)
+    assert not failed and sorted(r["n"] for r in reports.read_snapshot(spark, newest, "t").collect()) == [0, 1, 2]
+    assert len(calls) == 3 and [c[1] for c in calls[:2]] == [first, first] and calls[2][1] not in (first, newest)
+    # Version 1 is over: its tables are gone, and so is what the loser wrote first.
+    assert sorted(reports._versions(spark, root)) == [2, 3] and len(names(spark, root)) == 3
+    with __import__("pytest").raises(ValueError):
+        reports.write_snapshot({"t": spark.range(1)}, root, 3)
+
+
 def test_seed_only_if_absent(spark):
     kinds = "id string, event_type string, title string, center_lat double, center_lon double, uncertainty_radius_m double, severity_score double, confidence_score double, verification_status string, action_priority string, responder_state string"
     once = seed.seed_incident(spark.createDataFrame([], kinds))

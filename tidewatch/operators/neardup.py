@@ -216,8 +216,10 @@ def near_duplicate_lsh(docs: DataFrame, bands: int = 20, rows: int = 5, words: i
     needs no other pair. Buckets that still hold different classes then give all pairs between
     those, so no candidate is lost: recall is that of the bands (at 0.8, 1 - (1 - 0.8 ** 5) ** 20, over 0.999).
     """
-    every = stored(_shingle_sets(docs, words), "shingle-sets")
-    sets = stored(every.groupBy("s").agg(F.min("id").alias("id")), "shingles")
+    # A set is known by 128 bits of it; whole sets travel only where they are compared.
+    digest = F.md5(F.concat_ws(",", F.col("s").cast("array<string>")))
+    every = stored(_shingle_sets(docs, words).withColumn("set", digest), "shingle-sets")
+    sets = stored(every.groupBy("set").agg(F.min("id").alias("id"), F.any_value("s").alias("s")), "shingles")
     keyed = stored(sets.select("id", F.posexplode(_band_keys(bands, rows)(F.col("s"))).alias("band", "key")), "bands")
     heads = keyed.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
     met = stored(keyed.join(heads, ["band", "key"]).select("band", "key", "head", "id"), "buckets")
@@ -231,8 +233,8 @@ def near_duplicate_lsh(docs: DataFrame, bands: int = 20, rows: int = 5, words: i
     pairs = left.withColumnRenamed("id", "a").join(other, ["band", "key"]).filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))).select("a", "b").distinct()
     links = stored(star.unionByName(_jaccard(pairs, sets, threshold)), "links")
     roots = connected_components(links.select("a", "b")).withColumnRenamed("node", "id")
-    named = sets.join(roots, "id", "left").select("s", F.coalesce("root", "id").alias("class_id"))
-    members = docs.select("id").join(stored(every.join(named, "s").select("id", "class_id"), "named"), "id", "left")
+    named = sets.join(roots, "id", "left").select("set", F.coalesce("root", "id").alias("class_id"))
+    members = docs.select("id").join(stored(every.select("id", "set").join(named, "set").select("id", "class_id"), "named"), "id", "left")
     return members.select("id", F.coalesce("class_id", "id").alias("class_id")), links
 
 

@@ -941,7 +941,7 @@ def write_tables(spark, d):
     from tidewatch.sources.storage import shared_dir
 
     root = shared_dir(spark, "snapshot")
-    intake.write_snapshot({"incidents": _incidents(spark, d), "links": _links(spark, d)}, root, 1)
+    intake.commit_snapshot(spark, root, lambda base: {"incidents": _incidents(spark, d), "links": _links(spark, d)})
     at = intake.newest_snapshot(spark, root)
     return intake.read_snapshot(spark, at, "links").groupBy("incident_id").agg(F.count("*").alias("n_links")).join(intake.read_snapshot(spark, at, "incidents").select(F.col("id").alias("incident_id"), "title"), "incident_id")
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch import constants as C
 from tidewatch.functions import text
+from tidewatch.sources.storage import claim, contents, names, remove
 
 REPORT = "id string, source_user string, raw_text string, media_url string, timestamp string, gps_lat double, gps_lon double"
 
@@ -85,25 +88,64 @@ def load_known_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, version: int) -> str:
-    """Write each table to ``root/v=version/name``; the version is published by its ``ready`` table, written last."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/v={version}/{name}")
+    """Write each table to ``root/v=version/name`` and publish the version, for one writer that numbers versions itself."""
     spark = next(iter(tables.values())).sparkSession
-    ready = spark.createDataFrame([(version, sorted(tables))], "version int, tables array<string>")
-    ready.coalesce(1).write.mode("overwrite").parquet(f"{root}/ready/v={version}")
-    return f"{root}/v={version}"
+    if version in _versions(spark, root):
+        raise ValueError(f"version {version} is published already")
+    at = _write_tables(tables, f"{root}/v={version}")
+    if not claim(spark, _entry(root, version), f"v={version}"):
+        raise ValueError(f"version {version} is published already")
+    return at
+
+
+def _write_tables(tables: dict[str, DataFrame], at: str) -> str:
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{at}/{name}")
+    return at
+
+
+def _entry(root: str, version: int) -> str:
+    """The file that publishes a version: it names the folder of its tables."""
+    return f"{root}/ready/{version:012d}"
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n) for n in names(spark, f"{root}/ready") if n.isdigit())
+
+
+def commit_snapshot(spark: SparkSession, root: str, change: Callable[[str | None], dict[str, DataFrame]], keep: int = 3, attempts: int = 20) -> str:
+    """Publish what ``change`` makes of the newest snapshot as the next version; the folder of it.
+
+    Any number of writers may do so at once. ``change`` gets the newest snapshot's folder (none: None) and
+    gives the tables. They are written to a folder of the writer's own, and then the next number is claimed; one writer
+    gets it. The others discard what they wrote and begin again on the winner's snapshot, so no
+    change is lost. A writer that dies leaves a folder that nothing names. Versions beyond the
+    newest ``keep`` are removed; who reads longer than ``keep`` commits take must keep more.
+    """
+    if keep < 1:
+        raise ValueError("the newest version stays")
+    for _ in range(attempts):
+        base = max(_versions(spark, root), default=0)
+        folder = f"v={base + 1}-{uuid.uuid4().hex}"
+        _write_tables(change(_folder(spark, root, base) if base else None), f"{root}/{folder}")
+        if claim(spark, _entry(root, base + 1), folder):
+            for old in _versions(spark, root)[:-keep]:
+                at = _folder(spark, root, old)
+                remove(spark, _entry(root, old))
+                remove(spark, at)
+            return f"{root}/{folder}"
+        remove(spark, f"{root}/{folder}")
+    raise RuntimeError(f"others were first {attempts} times")
+
+
+def _folder(spark: SparkSession, root: str, version: int) -> str:
+    return f"{root}/{contents(spark, _entry(root, version))}"
 
 
 def newest_snapshot(spark: SparkSession, root: str) -> str | None:
-    """The folder of the newest version that is complete; none: None. A version without its ``ready`` table is passed over."""
-    found = spark.read.schema("version int").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.parquet")
-    try:
-        newest = found.parquet(f"{root}/ready").agg(F.max("version")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return None if newest is None else f"{root}/v={newest}"
+    """The folder of the newest version that is published; none: None. Folders that no version names are passed over."""
+    versions = _versions(spark, root)
+    return _folder(spark, root, versions[-1]) if versions else None
 
 
 def read_snapshot(spark: SparkSession, at: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
@@ -57,6 +58,53 @@ def discard(*tables: DataFrame) -> None:
                 hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none where it is missing."""
+    fs, at = _hadoop(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def contents(spark: SparkSession, path: str) -> str:
+    fs, at = _hadoop(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file that is not there yet; False where another writer has made it.
+
+    It appears whole: a draft is linked (local) or moved (HDFS, which refuses an existing target) to its
+    name. Stores whose move overwrites, as S3's does, need a committer of their own.
+    """
+    fs, at = _hadoop(spark, path)
+    _, draft = _hadoop(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(draft.toUri().getPath(), at.toUri().getPath())
+            return True
+        return not fs.exists(at) and fs.rename(draft, at)
+    except FileExistsError:
+        return False
+    finally:
+        fs.delete(draft, False)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows of an input with fewer splits than cores, such as one small file, to all cores.
 
