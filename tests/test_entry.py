@@ -101,6 +101,9 @@ def test_a_run_takes_what_services_answered(spark):
     assert any(a["analysis"]["analyzed"] and a["analysis"]["supports_text_claim"] is False for a in listed)
     with pytest.raises(ValueError, match="unique"):
         run_pipeline(base.unionByName(base.limit(1)), known, now)
+    timeless = base.withColumn("ts", F.when(F.rand(0) > 2, F.col("ts"))).filter("gps_lat IS NOT NULL")
+    with pytest.raises(ValueError, match="timestamp is missing"):
+        run_pipeline(timeless, known, now)
 
 
 def test_second_run_changes_no_incident(spark):

@@ -31,6 +31,14 @@ def test_reports_without_ids_stay_apart(spark):
     assert len(got) == 4 and got == load() and ("a", "one") in got and sum(len(i) == 36 for i, _ in got) == 3
 
 
+def test_made_ids_do_not_hang_on_the_split(spark):
+    rows = [(None, "u", f"text {k % 3}", "2026-01-01T00:00:00", None, None, 1.5) for k in range(12)] + [("", None, None, None, None, None, None)] * 25_000 + [("a", "u", "one", None, None, None, None)]
+    incoming = spark.createDataFrame(rows, "id string, source_user string, raw_text string, timestamp string, media_url string, gps_lat double, gps_lon double")
+    load = lambda parts: sorted((r["id"], r["raw_text"] or "") for r in reports.load_reports(incoming.repartition(parts), spark.createDataFrame([], "id string"), now()).collect())
+    got = load(1)
+    assert len(got) == len(set(got)) == len(rows) and got == load(7)
+
+
 def test_intake_reasons(spark):
     rows = [("u", "t", 90.0, 180.0), (" ", "", None, None), ("u", "t", float("nan"), 200.0)]
     got = reports.validate_reports(spark.createDataFrame(rows, "source_user string, raw_text string, gps_lat double, gps_lon double")).collect()

@@ -30,3 +30,13 @@ def test_all_located_reports_are_clustered(spark):
     stream = {r["id"]: r["first_id"] for r in queries.QUERIES["stream_leader_cluster"](spark, SF).collect()}
     assert set(stream) == set(batch)
     assert len({(stream[i], batch[i]) for i in batch}) == len(set(stream.values())) == len(set(batch.values()))
+
+
+def test_ingest_gives_the_incidents_of_the_batch(spark):
+    """After the last micro-batch: the incidents of all reports at once."""
+    from tidewatch.plans.incident_pipeline import run_pipeline
+
+    batch = run_pipeline(fixtures.reports(spark, SF).drop("event_id"), fixtures.known_hashes(spark, SF), F.lit("2026-01-01").cast("timestamp")).incidents
+    stream = queries.QUERIES["stream_ingest"](spark, SF)
+    want = sorted(map(tuple, batch.select(*stream.columns).collect()))
+    assert sorted(map(tuple, stream.collect())) == want and len(want) > 100

@@ -29,21 +29,33 @@ CELL_LAT, CELL_LON = 0.04, 0.08
 ZONES = ((60, 1), (75, 2), (85, 6))
 
 
-def cluster_validate(reports: DataFrame) -> DataFrame:
-    """Add ``problems``, the reasons why a row can't be clustered (empty: none).
-
-    Needs id, disaster_type, lat, lon, radius_m, ts.
-    """
+def _row_checks() -> dict[str, Column]:
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
-    checks = {
+    return {
         "id must be a nonempty string": F.coalesce(F.trim("id"), F.lit("")) == "",
-        "duplicate report id": F.count("*").over(W.partitionBy("id")) > 1,
         "disaster_type must be a nonempty string": F.coalesce(F.trim("disaster_type"), F.lit("")) == "",
         "coordinates are non-finite or out of range": ~geo.valid_coordinates(F.col("lat"), F.col("lon")),
         "uncertainty must be finite and nonnegative": ~(finite("radius_m") & (F.col("radius_m") >= 0)),
         "timestamp is missing": F.col("ts").isNull(),
     }
-    return reports.withColumn("problems", F.filter(F.array(*[F.when(c, n) for n, c in checks.items()]), lambda x: x.isNotNull()))
+
+
+def cluster_validate(reports: DataFrame) -> DataFrame:
+    """Add ``problems``, the reasons why a row can't be clustered (empty: none).
+
+    Needs id, disaster_type, lat, lon, radius_m, ts.
+    """
+    first, *rest = _row_checks().items()
+    checks = [first, ("duplicate report id", F.count("*").over(W.partitionBy("id")) > 1), *rest]
+    return reports.withColumn("problems", F.filter(F.array(*[F.when(c, n) for n, c in checks]), lambda x: x.isNotNull()))
+
+
+def check_reports(reports: DataFrame) -> None:
+    """Fail where a report can't be clustered, and say which and why; ids are taken to be unique. One pass, no shuffle of reports."""
+    problems = F.filter(F.array(*[F.when(c, n) for n, c in _row_checks().items()]), lambda x: x.isNotNull())
+    bad = reports.select("id", problems.alias("problems")).filter(F.size("problems") > 0).orderBy("id").limit(5).collect()
+    if bad:
+        raise ValueError("reports that can't be clustered: " + "; ".join(f"{r['id']!r}: {', '.join(r['problems'])}" for r in bad))
 
 
 def inactivity_sessions(reports: DataFrame, gap_s: int = C.CLUSTER_WINDOW_S) -> DataFrame:

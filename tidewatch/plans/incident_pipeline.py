@@ -54,6 +54,7 @@ def run_pipeline(
     direct = stored(geolocation.resolve_direct(extraction.relevant_reports(facts), cache, results), "direct")
     located = stored(geolocation.resolve_all(direct, direct=direct).filter("lat IS NOT NULL"), "located")
     flat = located.withColumn("disaster_type", F.col("facts.disaster_type"))
+    clustering.check_reports(flat)
     clusters, member_ids = clustering.cluster_reports(flat)
     members = member_ids.join(flat, "id").withColumn("event_type", F.col("disaster_type"))
     members = stored(evidence.image_analysis_join(members, analyses) if analyses is not None else members, "members")

@@ -29,14 +29,27 @@ def normalize_timestamp(value: Column) -> Column:
 def load_reports(incoming: DataFrame, stored: DataFrame, now: Column, order: Column | None = None) -> DataFrame:
     """Rows of ``incoming`` to insert: ids not stored yet, the first of each id in ``order``.
 
-    A missing or blank id is made from the row's content and its place in ``order`` (if none is given, its
-    place in the input), so that equal reports stay apart and a second run over the same input makes the same ids.
-    A missing time is ``now``.
+    A missing or blank id is made from the row's content and its place in ``order``, so that equal reports
+    stay apart and a second run over the same input makes the same ids. Without an ``order`` equal
+    rows are counted and numbered instead: their ids do not hang on how the input is split, and only
+    which row of a given id is first is then up to the input's files. A missing time is ``now``.
     """
     fields = ("source_user", "raw_text", "media_url", "timestamp", "gps_lat", "gps_lon")
-    placed = incoming.withColumn("tw_place", order if order is not None else F.monotonically_increasing_id())
-    content = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*fields, "tw_place")])
-    named = placed.withColumn("id", F.coalesce(F.when(text.strip(F.col("id")) != "", F.col("id")), F.concat(F.lit("rep_"), F.substring(F.sha2(content, 256), 1, 32))))
+    has_id = F.coalesce(text.strip(F.col("id")), F.lit("")) != ""
+
+    def made(place: str) -> Column:
+        content = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*fields, place)])
+        return F.concat(F.lit("rep_"), F.substring(F.sha2(content, 256), 1, 32))
+
+    if order is not None:
+        named = incoming.withColumn("tw_place", order).withColumn("id", F.when(has_id, F.col("id")).otherwise(made("tw_place")))
+    else:
+        # Copies of a row come out of its count, in steps, so that no row holds all their numbers.
+        counted = incoming.filter(~has_id).groupBy(*fields).agg(F.count("*").alias("tw_n"))
+        steps = counted.withColumn("tw_step", F.explode(F.sequence(F.lit(0), F.col("tw_n") - 1, F.lit(10_000).cast("long"))))
+        copies = steps.withColumn("tw_place", F.explode(F.sequence("tw_step", F.least(F.col("tw_step") + 9_999, F.col("tw_n") - 1))))
+        given = incoming.filter(has_id).withColumn("tw_place", F.monotonically_increasing_id())
+        named = given.select("id", *fields, "tw_place").unionByName(copies.select(made("tw_place").alias("id"), *fields, "tw_place"))
     once = named.groupBy("id").agg(F.min_by(F.struct(*fields), "tw_place").alias("row")).select("id", "row.*").join(stored.select("id"), "id", "left_anti")
     return once.withColumn("ts", F.coalesce(normalize_timestamp(F.col("timestamp")), now)).select("id", "source_user", "raw_text", "media_url", "ts", "gps_lat", "gps_lon")
 
