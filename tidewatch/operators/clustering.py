@@ -86,23 +86,29 @@ def _units(row: Column) -> Column:
     return width
 
 
-def cluster_partition(reports: DataFrame) -> DataFrame:
-    """Add ``component``: the smallest id of the group that no cluster leaves.
+_PLACE = ["disaster_type", "slot", "row", "col"]
 
-    Groups are connected cells of one type in time (as long as the link time) and place, so the
-    graph has a node for each occupied cell rather than for each report.
-    """
+
+def _celled(reports: DataFrame) -> DataFrame:
+    """Add slot, row and col, the cell of time and place."""
     turns = round(360 / CELL_LON)
     row = F.floor(F.col("lat") / CELL_LAT).cast("long")
-    celled = reports.withColumns({"slot": F.floor(F.unix_micros("ts") / (C.CLUSTER_WINDOW_S * 1_000_000)).cast("long"), "row": row})
+    celled = reports.withColumns({"slot": time_slot(F.col("ts")), "row": row})
     units = _units(F.col("row"))
     column = F.pmod(F.floor((F.col("lon") + 180.0) / CELL_LON), F.lit(turns)) / units
     cap = units.isNull()
-    celled = celled.withColumns({"col": F.when(cap, -1).otherwise(F.floor(column)).cast("long"), "row": F.when(cap, F.signum("lat") * 100_000).otherwise(F.col("row")).cast("long")})
-    # Stored: what the reports come from, extraction say, is worked out once, and apart from the code of this.
-    celled = stored(celled, "celled")
-    place = ["disaster_type", "slot", "row", "col"]
-    cells = stored(celled.groupBy(place).agg(F.min("id").alias("least")), "cells")
+    return celled.withColumns({"col": F.when(cap, -1).otherwise(F.floor(column)).cast("long"), "row": F.when(cap, F.signum("lat") * 100_000).otherwise(F.col("row")).cast("long")})
+
+
+def time_slot(ts: Column) -> Column:
+    """The cell of time: reports of one group follow each other within one slot or from one to the next."""
+    return F.floor(F.unix_micros(ts) / (C.CLUSTER_WINDOW_S * 1_000_000)).cast("long")
+
+
+def _cell_edges(cells: DataFrame) -> DataFrame:
+    """a, b: the ``least`` of neighbouring cells (disaster_type, slot, row, col, least)."""
+    turns = round(360 / CELL_LON)
+    place = _PLACE
     # Half of the neighbours are enough: later slots, and in the same slot rows above and the next column.
     other = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(r).alias("r")) for s in (0, 1) for r in ((0, 1) if s == 0 else (-1, 0, 1))]))
     plain = cells.filter("col >= 0").select(*place, F.col("least").alias("a"), other.alias("o"))
@@ -117,10 +123,39 @@ def cluster_partition(reports: DataFrame) -> DataFrame:
     near = F.explode(F.array(*[F.col("slot") + k for k in (-1, 0, 1)])).alias("slot")
     caps = cells.filter("col < 0").select("disaster_type", near, F.signum("row").alias("side"), F.col("least").alias("a"))
     rims = cells.filter((F.col("col") < 0) | (F.col("row") >= edge - 1) | (F.col("row") <= -edge)).withColumn("side", F.when(F.col("row") < 0, -1.0).otherwise(1.0))
-    edges = edges.unionByName(caps.join(rims, ["disaster_type", "slot", "side"]).select("a", F.col("least").alias("b")))
-    roots = connected_components(edges)
+    return edges.unionByName(caps.join(rims, ["disaster_type", "slot", "side"]).select("a", F.col("least").alias("b")))
+
+
+def cluster_partition(reports: DataFrame) -> DataFrame:
+    """Add ``component``: the smallest id of the group that no cluster leaves.
+
+    Groups are connected cells of one type in time (as long as the link time) and place, so the
+    graph has a node for each occupied cell rather than for each report.
+    """
+    # Stored: what the reports come from, extraction say, is worked out once, and apart from the code of this.
+    celled = stored(_celled(reports), "celled")
+    cells = stored(celled.groupBy(_PLACE).agg(F.min("id").alias("least")), "cells")
+    roots = connected_components(_cell_edges(cells))
     named = cells.join(roots.withColumnRenamed("node", "least"), "least", "left").withColumn("component", F.coalesce("root", "least"))
-    return celled.join(named.select(*place, "component"), place).drop("row", "col", "slot")
+    return celled.join(named.select(*_PLACE, "component"), _PLACE).drop("row", "col", "slot")
+
+
+def touched_components(placed: DataFrame, changed: DataFrame) -> DataFrame:
+    """component: the groups of ``placed`` that ``changed`` reports fall in or beside (distinct).
+
+    ``placed`` has component, and both have id, disaster_type, lat, lon, ts. Cells are counted in the slots of time around changed
+    reports only.
+    """
+    columns = ["id", "disaster_type", "lat", "lon", "ts"]
+    slots = changed.select("disaster_type", time_slot(F.col("ts")).alias("slot")).distinct()
+    slots = slots.select("disaster_type", F.explode(F.array(*[F.col("slot") + k for k in (-1, 0, 1)])).alias("slot")).distinct()
+    near = placed.withColumn("slot", time_slot(F.col("ts"))).join(slots, ["disaster_type", "slot"], "left_semi").select(*columns, "component", F.lit(False).alias("changed"))
+    both = near.unionByName(changed.select(*columns, F.lit(None).cast("string").alias("component"), F.lit(True).alias("changed")))
+    cells = stored(_celled(both).groupBy(_PLACE).agg(F.min("id").alias("least"), F.min("component").alias("component"), F.max("changed").alias("changed")), "touched-cells")
+    edges = _cell_edges(cells)
+    beside = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hit = beside.join(cells.filter("changed").select(F.col("least").alias("a")), "a", "left_semi").select(F.col("b").alias("least")).unionByName(cells.filter("changed").select("least"))
+    return cells.join(hit.distinct(), "least", "left_semi").filter("component IS NOT NULL").select("component").distinct()
 
 
 def _distance(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -192,12 +227,13 @@ def _leader_pass(batches):
 
 
 def cluster_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clusters, members) of valid reports (id, disaster_type, lat, lon, radius_m, ts).
+    """(clusters, members) of valid reports (id, disaster_type, lat, lon, radius_m, ts); their ``component`` serves where it is there.
 
     clusters: cluster_id, event_type, center_lat, center_lon, uncertainty_radius_m, n;
     members: cluster_id, id. Ids follow the order of first time and first id of the batch.
     """
-    parted = cluster_partition(reports.select("id", "disaster_type", "lat", "lon", "radius_m", "ts")).withColumn("at", F.unix_micros("ts") / 1_000_000)
+    parted = reports if "component" in reports.columns else cluster_partition(reports.select("id", "disaster_type", "lat", "lon", "radius_m", "ts"))
+    parted = parted.withColumn("at", F.unix_micros("ts") / 1_000_000)
     dealt = parted.select("component", "at", "id", "lat", "lon", "radius_m").repartition("component").sortWithinPartitions("component", "at", "id")
     led = dealt.mapInArrow(_leader_pass, _LED)
     led = stored(led.join(reports.select("id", "disaster_type"), "id"), "leader")

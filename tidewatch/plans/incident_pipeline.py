@@ -35,6 +35,30 @@ def check_ids(reports: DataFrame) -> None:
         raise ValueError("report ids must be there and unique: " + ", ".join(f"{r['id']!r} ({r['n']} rows)" for r in bad))
 
 
+def derive(flat: DataFrame, known: DataFrame, now: Column, old_incidents: DataFrame | None = None, old_links: DataFrame | None = None, *, analyses: DataFrame | None = None, hits: DataFrame | None = None):
+    """(incidents, links, assigned, members): what located reports make of an earlier snapshot.
+
+    ``flat``: reports with facts, pins and disaster_type, and maybe the component of ``cluster_partition``. They may be
+    a part of all, if it holds every group of reports whole that it touches: the rest of the snapshot stays.
+    """
+    spark = flat.sparkSession
+    clustering.check_reports(flat)
+    clusters, member_ids = clustering.cluster_reports(flat)
+    members = member_ids.join(flat, "id").withColumn("event_type", F.col("disaster_type"))
+    members = stored(evidence.image_analysis_join(members, analyses) if analyses is not None else members, "members")
+    scored = stored(evidence.score_cluster(members, clusters.select("cluster_id", "event_type", "center_lat", "center_lon", "uncertainty_radius_m"), known, hits), "scored")
+    if old_links is None:
+        old_links = spark.createDataFrame([], "incident_id string, report_id string, distance_m double, time_delta_s double")
+    overlap = stored(incidents.incident_overlap(members, old_links), "overlap")
+    matched = stored(incidents.incident_match(overlap, clusters), "matched")
+    fields = incident_rows(scored.limit(0), matched.limit(0)).withColumns({"responder_state": F.lit(None).cast("string"), "updated_at": F.lit(None).cast("timestamp")})
+    old = old_incidents if old_incidents is not None else spark.createDataFrame([], fields.schema)
+    assigned = stored(matched.unionByName(incidents.incident_new_ids(clusters, matched, old)), "assigned")
+    snapshot = incidents.incident_upsert(old.select(*fields.columns), incident_rows(scored, assigned), now)
+    distances = clustering.member_distance(members, clusters).join(assigned, "cluster_id").select("incident_id", F.col("id").alias("report_id"), "distance_m", "time_delta_s")
+    return snapshot, incidents.link_upsert(old_links, distances), assigned, member_ids
+
+
 def run_pipeline(
     reports: DataFrame, known: DataFrame, now: Column, old_incidents: DataFrame | None = None, old_links: DataFrame | None = None, cache: DataFrame | None = None, *,
     extractor: Callable[[DataFrame], DataFrame] | None = None, results: DataFrame | None = None, analyses: DataFrame | None = None, hits: DataFrame | None = None,
@@ -47,26 +71,11 @@ def run_pipeline(
     (``external_verification``). Without one, incidents say that there was no such answer.
     """
     check_ids(reports)
-    spark = reports.sparkSession
     extract = extractor or extraction.extract_facts
     facts = extraction.extract_missing(reports, extract).drop("extracted_now") if "facts" in reports.columns else extract(reports)
     facts = stored(facts, "facts")
     direct = stored(geolocation.resolve_direct(extraction.relevant_reports(facts), cache, results), "direct")
     located = stored(geolocation.resolve_all(direct, direct=direct).filter("lat IS NOT NULL"), "located")
-    flat = located.withColumn("disaster_type", F.col("facts.disaster_type"))
-    clustering.check_reports(flat)
-    clusters, member_ids = clustering.cluster_reports(flat)
-    members = member_ids.join(flat, "id").withColumn("event_type", F.col("disaster_type"))
-    members = stored(evidence.image_analysis_join(members, analyses) if analyses is not None else members, "members")
-    scored = stored(evidence.score_cluster(members, clusters.select("cluster_id", "event_type", "center_lat", "center_lon", "uncertainty_radius_m"), known, hits), "scored")
-    if old_links is None:
-        old_links = spark.createDataFrame([], "incident_id string, report_id string, distance_m double, time_delta_s double")
-    overlap = stored(incidents.incident_overlap(members, old_links), "overlap")
-    matched = stored(incidents.incident_match(overlap, clusters), "matched")
-    fields = incident_rows(scored.limit(0), matched.limit(0)).withColumns({"responder_state": F.lit(None).cast("string"), "updated_at": F.lit(None).cast("timestamp")})
-    old = old_incidents if old_incidents is not None else spark.createDataFrame([], fields.schema)
-    assigned = stored(matched.unionByName(incidents.incident_new_ids(clusters, matched, old)), "assigned")
-    snapshot = incidents.incident_upsert(old.select(*fields.columns), incident_rows(scored, assigned), now)
-    distances = clustering.member_distance(members, clusters).join(assigned, "cluster_id").select("incident_id", F.col("id").alias("report_id"), "distance_m", "time_delta_s")
+    incidents_now, links, assigned, member_ids = derive(located.withColumn("disaster_type", F.col("facts.disaster_type")), known, now, old_incidents, old_links, analyses=analyses, hits=hits)
     media = neardup.media_original_link(facts.select(F.col("id").alias("report_id"), "ts", "phash")).withColumn("id", F.concat(F.lit("med_"), F.col("report_id")))
-    return Tables(facts, snapshot, incidents.link_upsert(old_links, distances), media, incidents.report_incident(facts, member_ids, assigned), assigned)
+    return Tables(facts, incidents_now, links, media, incidents.report_incident(facts, member_ids, assigned), assigned)

@@ -33,7 +33,7 @@ def stream_sessions(reports: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def stream_ingest(reports: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query that gives each micro-batch to ``handle``, which derives incidents again.
+    """Start a query that gives each micro-batch to ``handle``; ``ingest.stream_incidents`` has one that keeps incidents up to date.
 
     A batch may come again after a failure; ``handle`` gets its number and must be idempotent.
     """
