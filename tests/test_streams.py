@@ -32,6 +32,27 @@ def test_all_located_reports_are_clustered(spark):
     assert len({(stream[i], batch[i]) for i in batch}) == len(set(stream.values())) == len(set(batch.values()))
 
 
+def test_late_reports_are_given_as_late(spark, tmp_path):
+    """Each file a micro-batch: the third brings a report from before the watermark and one from after it."""
+    from tidewatch.streaming.incidents import stream_leader_cluster
+
+    shape = "id string, disaster_type string, lat double, lon double, radius_m double, ts timestamp"
+    files = [[("a", 0), ("b", 300)], [("c", 7200)], [("late", 100), ("d", 7300)], [("end", 90_000)], [("after", 180_000)]]
+    for rows in files:
+        made = spark.createDataFrame([(i, "FLOOD", 20.0, 77.0, 10.0, 1_700_000_000 + s) for i, s in rows], shape.replace("ts timestamp", "s long"))
+        made.withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = queries._run(spark, stream_leader_cluster(stream, "1 minute")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r["id"]: r["first_id"] for r in got if not r["late"]} == {"a": "a", "b": "a", "c": "a", "d": "a", "end": "end"}
+    assert [(r["id"], r["first_id"]) for r in got if r["late"]] == [("late", None)]
+
+
 def test_ingest_gives_the_incidents_of_the_batch(spark):
     """After the last micro-batch: the incidents of all reports at once."""
     from tidewatch.plans.incident_pipeline import run_pipeline

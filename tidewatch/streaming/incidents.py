@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from tidewatch import constants as C
 from tidewatch.operators import clustering
@@ -47,7 +47,7 @@ def stream_incident_updates(snapshots: DataFrame, since: str) -> DataFrame:
 
 OUTPUT = StructType([
     StructField("id", StringType()), StructField("first_id", StringType()), StructField("center_lat", DoubleType()),
-    StructField("center_lon", DoubleType()), StructField("n", LongType()),
+    StructField("center_lon", DoubleType()), StructField("n", LongType()), StructField("late", BooleanType()),
 ])
 _PENDING = StructType([StructField(n, t) for n, t in (("at", DoubleType()), ("id", StringType()), ("lat", DoubleType()), ("lon", DoubleType()), ("radius_m", DoubleType()))])
 _LEADER = StructType(
@@ -59,7 +59,7 @@ class LeaderClusters(StatefulProcessor):
     """Leader clustering of one key: reports wait in state until the watermark has passed them.
 
     They are then taken in order of time and id, so disorder within the watermark gives the
-    batch result. Live clusters are sums and counts; one whose two hours are over is dropped.
+    batch result. One that comes when the watermark has passed it is given back at once, marked late. Live clusters are sums and counts; one whose two hours are over is dropped.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -70,11 +70,12 @@ class LeaderClusters(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         late = timerValues.getCurrentWatermarkInMs() / 1000
         for group in rows:
-            fresh = group[group["at"] >= late]
+            fresh, missed = group[group["at"] >= late], group[group["at"] < late]
             if len(fresh):
                 self.pending.appendList([tuple(r) for r in fresh[["at", "id", "lat", "lon", "radius_m"]].itertuples(index=False)])
                 self.handle.registerTimer(int(fresh["at"].min() * 1000) + 1)
-        return iter([])
+            if len(missed):
+                yield pd.DataFrame([(i, None, None, None, None, True) for i in missed["id"]], columns=[f.name for f in OUTPUT.fields])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() / 1000
@@ -89,7 +90,7 @@ class LeaderClusters(StatefulProcessor):
         out = []
         for at, id_, lat, lon, radius in ready:
             x = clustering.assign(leaders, at, id_, lat, lon, radius)
-            out.append((id_, x.first_id, x.lat, x.lon, x.n))
+            out.append((id_, x.first_id, x.lat, x.lon, x.n, False))
             leaders = [y for y in leaders if at - y.latest <= C.CLUSTER_WINDOW_S]
         self.pending.put(rest) if rest else self.pending.clear()
         kept = [(x.lat_sum, x.lon_sum, x.reference, x.radius, x.latest, x.first, x.first_id, x.n) for x in leaders]
@@ -104,11 +105,13 @@ class LeaderClusters(StatefulProcessor):
 
 
 def stream_leader_cluster(located: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """id, first_id (naming the cluster), centre and size at joining, for each report in its turn.
+    """id, first_id (naming the cluster), centre and size at joining, for each report in its turn; late ones with nulls and ``late``.
 
     ``located`` has id, disaster_type, lat, lon, radius_m, ts. Needs the RocksDB state store.
-    Keyed by type, which is exact; for more parallelism run ``stream_ingest`` over the groups
-    of ``cluster_partition``.
+    Keyed by type, which is exact; where types are too few keys, ``ingest.stream_incidents`` works by groups of
+    time and place, and takes late reports in.
     """
     timed = located.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts") / 1_000_000)
+    # Without its event time column Spark leaves it to the processor what to do with late rows.
+    timed = timed.select("id", "disaster_type", "lat", "lon", "radius_m", "at")
     return timed.groupBy("disaster_type").transformWithStateInPandas(LeaderClusters(), OUTPUT, "Append", "EventTime")
