@@ -135,6 +135,28 @@ def test_pages_vote_on_suspects(spark):
     assert said == {"a.example": (1, 0), "single.example": (0, 0), "b.example": (0, 1), "other.example": (0, 0)}
 
 
+#: Names that themes give to what is no article text.
+NAMES = (
+    "share-buttons related-posts related-articles comment-list comments-area disqus_thread author-bio cookie-banner cookie-consent-banner newsletter-signup newsletter-form google-ad ad-slot-1 "
+    "adsbygoogle wp-block-navigation breadcrumb-trail post-comments social-links social-media-links sponsored-content promo-box subscribe-box sidebar-widget widget-area widget_text site-footer "
+    "page-footer footer-widgets nav-links post-navigation menu-item main-menu top-nav navbar-brand popular-posts recommended read-next ad-wrapper advertisement-block banner-ad outbrain taboola "
+    "gdpr-notice privacy-notice alert notification login-form search-form paywall tags entry-meta skip-link reply comment-respond user-comments reader-comments discussion"
+).split()
+#: Names that hold article text.
+KEPT = "entry-content post-body article-text content-block main-text media-caption section-content lead post-text item-list has-header no-sidebar article-header reader-content author-note user-guide".split()
+
+
+def test_named_boxes_in_an_article(spark):
+    """Hosts of five pages, each with a box inside the article under one name."""
+    page = '<body><article><h1>Head {k}</h1><p>The article of page {k} says enough.</p><div class="{c}"><p>Box {k} with words of its own.</p></div><p>The end of it.</p></article></body>'
+    rows = [(100 * j + k, f"https://h{j}.example/{k}", page.replace("{k}", str(k)).replace("{c}", c)) for j, c in enumerate([*NAMES, *KEPT]) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(_pages(spark, rows)).collect()}
+    assert all("says enough." in t and t.endswith("The end of it.") for t in got.values())
+    left = {c for j, c in enumerate([*NAMES, *KEPT]) for k in range(5) if "Box" in got[100 * j + k]}
+    # Sections of an article are called "discussion" too, and nothing in "read-next" names what it is.
+    assert left == {"discussion", "read-next", *KEPT}
+
+
 def test_edges(spark):
     rows = [(1, None, None), (None, "x", ""), (2, "http://u@Host:80/p", PAGE % ("article", "</article>")), (2, "http://u@Host:80/p", PAGE % ("article", "</article>"))]
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in H.main_text(_pages(spark, rows)).collect()), key=str)

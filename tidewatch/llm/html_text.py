@@ -65,14 +65,14 @@ _DROP_TAG = frozenset("nav footer aside button select menu head dialog".split())
 _SUSPECT_TAG = frozenset("form".split())
 _TITLE_TAG = "header"
 _SUSPECT_WORD = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer "
-    "gdpr header masthead menu modal nav navbar navigation newsletter notice overlay popup promo promoted related respond share sharing sidebar "
-    "signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adbox adslot alert banner bio breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer "
+    "gdpr header login masthead menu meta modal nav navbar navigation newsletter notice notification outbrain overlay paywall popular popup promo promoted recommended "
+    "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets".split()
 )
 _TITLE_WORD = frozenset("header masthead banner".split())
 _PLACE_WORD = frozenset(
-    "site page main global primary secondary top bottom left right upper lower inner outer wrapper wrap container box area list bar block section panel links unit slot group form "
-    "js desktop mobile sticky fixed post entry article".split()
+    "site page main global primary secondary top bottom left right upper lower inner outer wrapper wrap container box area list bar block section panel links link unit slot group form "
+    "js desktop mobile sticky fixed post posts entry article articles author reader readers user users thread trail button buttons item items brand content media text privacy google wp".split()
 )
 _SUSPECT_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 _MARKED = frozenset("article main content entry post story body maincontent".split())
