@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans import fixtures
 from tidewatch.plans.incident_pipeline import run_pipeline
-from tidewatch.sources.reports import read_snapshot
+from tidewatch.sources.reports import newest_snapshot, read_snapshot
 from tidewatch.sources.storage import shared_dir, stored
 from tidewatch.streaming import ingest
 
@@ -76,3 +76,13 @@ def test_a_small_batch_touches_few_reports_and_survives_a_failure(spark, monkeyp
     # A batch without reports changes nothing.
     empty = ingest.ingest_batch(reports.limit(0), 2, root, known, now)
     assert _rows(read_snapshot(spark, empty, "incidents")) == _rows(read_snapshot(spark, at, "incidents"))
+
+
+def test_reports_that_cannot_be_clustered_fail_the_batch(spark):
+    root, known = shared_dir(spark, "ingest"), fixtures.known_hashes(spark, SF)
+    reports = fixtures.reports(spark, SF).drop("event_id").filter("gps_lat IS NOT NULL").withColumn("ts", F.lit(None).cast("timestamp"))
+    with pytest.raises(ValueError, match="timestamp is missing"):
+        ingest.ingest_batch(reports, 0, root, known, F.lit(NOW).cast("timestamp"))
+    with pytest.raises(ValueError, match="unique"):
+        ingest.ingest_batch(reports.unionByName(reports), 0, root, known, F.lit(NOW).cast("timestamp"))
+    assert newest_snapshot(spark, f"{root}/snapshots") is None

@@ -71,8 +71,8 @@ def ingest_batch(
     """Take micro-batch ``number`` of reports (as ``run_pipeline``'s) into the state below ``root``; the newest snapshot's folder.
 
     Reports may come in any order of time. A batch that comes again, whole or after a failure, changes nothing twice; batches come in
-    order of their numbers, from one query. Ids that an earlier batch brought are passed over. The services' tables are
-    used for what the batch touches: a pin by landmark stays as it was found, and an analysis that comes later shows when its
+    order of their numbers, from one query. Ids that an earlier batch brought are passed over. Missing or repeated ids in a batch, and located
+    reports that can't be clustered, fail as in ``run_pipeline``, and leave the snapshot as it was. The services' tables are used for what the batch touches: a pin by landmark stays as it was found, and an analysis that comes later shows when its
     cluster is touched next. Media links are not kept: ``media_original_link`` gives them from ``read_reports``.
     """
     spark = new.sparkSession
@@ -90,6 +90,7 @@ def ingest_batch(
     reports = read_reports(spark, root, facts.schema).filter(F.col("batch") <= number)
     direct = geolocation.resolve_direct(extraction.relevant_reports(reports.filter(F.col("batch") == number)), cache, results)
     direct = stored(direct.withColumn("disaster_type", F.col("facts.disaster_type")).select(*_ROW), "direct")
+    clustering.check_reports(direct.filter("lat IS NOT NULL"))
 
     def change(at: str | None) -> dict[str, DataFrame]:
         pins = read_snapshot(spark, at, "pins") if at else spark.createDataFrame([], _PINS)
