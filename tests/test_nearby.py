@@ -127,3 +127,12 @@ def test_runs_put_groups_together(size):
     table = table.append_column("home", pa.array([v % 9 == 0 for v in range(40)]))
     got = [(g["k"][0].as_py(), g["v"].to_pylist()) for g in runs(iter(table.to_batches(max_chunksize=size)), 1, 3, "home")]
     assert got == [w for w in want if len(w[1]) >= 3 and any(v % 9 == 0 for v in w[1])]
+
+
+def test_a_busy_place_gives_few_groups(spark):
+    """Pins of a place that never pauses: a group for each moment at which one comes or goes, not for each pin and moment."""
+    r = random.Random(4)
+    pins = [(f"p{k}", "fire", START + r.randrange(10_800_000_000), 30.0 + r.randrange(3) * 5e-4, 40.0, 10.0) for k in range(700)]
+    pins += [(f"q{k}", "fire", START + r.randrange(10_800_000_000), 30.0 + r.uniform(0, 4000) / 111_000, 40.0 + r.uniform(0, 4000) / 111_000, 10.0) for k in range(400)]
+    check(spark, pins, [("fire", START + r.randrange(10_800_000_000)) for _ in range(25)])
+    assert nearby.tight_groups(spark.createDataFrame(pins, PIN)).count() < 6 * len(pins)
