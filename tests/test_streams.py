@@ -61,3 +61,14 @@ def test_ingest_gives_the_incidents_of_the_batch(spark):
     stream = queries.QUERIES["stream_ingest"](spark, SF)
     want = sorted(map(tuple, batch.select(*stream.columns).collect()))
     assert sorted(map(tuple, stream.collect())) == want and len(want) > 100
+
+
+def test_no_query_replaces_another():
+    """A second definition under a name once took the place of the streamed ``stream_ingest``."""
+    import inspect
+
+    assert "stream_incidents" in inspect.getsource(queries.QUERIES["stream_ingest"])
+    with pytest.raises(ValueError, match="stream_ingest"):
+
+        @queries.query()
+        def stream_ingest(spark, d): ...
