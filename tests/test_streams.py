@@ -72,3 +72,61 @@ def test_no_query_replaces_another():
 
         @queries.query()
         def stream_ingest(spark, d): ...
+
+
+class _List(list):
+    """A list state that counts how many rows are read."""
+
+    read = 0
+
+    def get(self):
+        self.read += len(self)
+        return iter(list(self))
+
+    def put(self, rows):
+        self[:] = rows
+
+    appendList = list.extend  # noqa: N815
+
+
+class _Handle:
+    def __init__(self):
+        self.lists, self.value, self.timers = {}, None, set()
+
+    def getListState(self, name, _):
+        return self.lists.setdefault(name, _List())
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_waiting_reports_are_read_once():
+    """A micro-batch in many pieces: the waiting reports are read once when the watermark moves, not once for each piece."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from tidewatch.streaming.incidents import LeaderClusters
+
+    handle, taken = _Handle(), LeaderClusters()
+    taken.init(handle)
+    pieces = [pd.DataFrame({"id": [f"r{p:02}{k}" for k in range(5)], "at": [100.0 + p + 20 * k for k in range(5)], "lat": 20.0, "lon": 77.0, "radius_m": 5.0}) for p in range(20)]
+    assert not list(taken.handleInputRows("FLOOD", iter(pieces), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    out, mark = [], SimpleNamespace(getCurrentWatermarkInMs=lambda: 150_000)
+    while due := sorted(t for t in handle.timers if t <= 150_000):
+        handle.timers.discard(due[0])
+        out += [i for frame in taken.handleExpiredTimer("FLOOD", mark, due[0]) for i in frame["id"]]
+    assert len(out) == 50 == len(set(out)) and handle.lists["pending"].read == 100
+    assert handle.timers == {150_001} and len(handle.lists["pending"]) == 50

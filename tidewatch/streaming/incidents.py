@@ -50,6 +50,7 @@ OUTPUT = StructType([
     StructField("center_lon", DoubleType()), StructField("n", LongType()), StructField("late", BooleanType()),
 ])
 _PENDING = StructType([StructField(n, t) for n, t in (("at", DoubleType()), ("id", StringType()), ("lat", DoubleType()), ("lon", DoubleType()), ("radius_m", DoubleType()))])
+_FIRST = StructType([StructField("at", DoubleType())])
 _LEADER = StructType(
     [StructField(n, DoubleType()) for n in ("lat_sum", "lon_sum", "reference", "radius", "latest", "first")] + [StructField("first_id", StringType()), StructField("n", LongType())]
 )
@@ -60,25 +61,33 @@ class LeaderClusters(StatefulProcessor):
 
     They are then taken in order of time and id, so disorder within the watermark gives the
     batch result. One that comes when the watermark has passed it is given back at once, marked late. Live clusters are sums and counts; one whose two hours are over is dropped.
+    All rows of a micro-batch are added at once and set one timer; a timer that finds nothing to take leaves the waiting reports unread, so
+    each micro-batch reads them once.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getListState("pending", _PENDING)
         self.leaders = handle.getListState("leaders", _LEADER)
+        self.first = handle.getValueState("first", _FIRST)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         late = timerValues.getCurrentWatermarkInMs() / 1000
-        for group in rows:
-            fresh, missed = group[group["at"] >= late], group[group["at"] < late]
-            if len(fresh):
-                self.pending.appendList([tuple(r) for r in fresh[["at", "id", "lat", "lon", "radius_m"]].itertuples(index=False)])
-                self.handle.registerTimer(int(fresh["at"].min() * 1000) + 1)
-            if len(missed):
-                yield pd.DataFrame([(i, None, None, None, None, True) for i in missed["id"]], columns=[f.name for f in OUTPUT.fields])
+        group = pd.concat(list(rows), ignore_index=True)
+        fresh, missed = group[group["at"] >= late], group[group["at"] < late]
+        if len(fresh):
+            self.pending.appendList([tuple(r) for r in fresh[["at", "id", "lat", "lon", "radius_m"]].itertuples(index=False)])
+            least, before = float(fresh["at"].min()), self.first.get()
+            if before is None or least < before[0]:
+                self.first.update((least,))
+                self.handle.registerTimer(int(least * 1000) + 1)
+        if len(missed):
+            yield pd.DataFrame([(i, None, None, None, None, True) for i in missed["id"]], columns=[f.name for f in OUTPUT.fields])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() / 1000
+        mark, first = timerValues.getCurrentWatermarkInMs() / 1000, self.first.get()
+        if first is None or first[0] >= mark:
+            return
         waiting = sorted(tuple(r) for r in self.pending.get())
         ready, rest = [r for r in waiting if r[0] < mark], [r for r in waiting if r[0] >= mark]
         leaders = []
@@ -96,7 +105,10 @@ class LeaderClusters(StatefulProcessor):
         kept = [(x.lat_sum, x.lon_sum, x.reference, x.radius, x.latest, x.first, x.first_id, x.n) for x in leaders]
         self.leaders.put(kept) if kept else self.leaders.clear()
         if rest:
+            self.first.update((rest[0][0],))
             self.handle.registerTimer(int(rest[0][0] * 1000) + 1)
+        else:
+            self.first.clear()
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
 
