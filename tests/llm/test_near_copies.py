@@ -139,3 +139,18 @@ def test_cases(spark, docs):
     df = docs(texts, ids=[None, 1, 1, 2, 3, 4, 5, None]).selectExpr("*", "1 AS set_id", "2 AS n", "3 AS key", "4 AS fp")
     marked = near_copies.marks(df)
     assert near_copies.set_links(df, marked).count() == 1 and marked.filter("n = 0").count() == 3
+
+
+def test_large_group_of_near_copies_costs_few_pairs(spark, docs, monkeypatch):
+    """Copies with one to three changes of their own: all are near copies of the text they come from, most not of each other."""
+    r = random.Random(11)
+    hub, n = [f"h{k}" for k in range(150)], 600
+    texts = [" ".join(hub)]
+    for k in range(n):
+        copy = list(hub)
+        for j, at in enumerate(r.sample(range(5, 145), r.choice([1, 2, 3, 3, 3]))):
+            copy[at] = f"c{k}x{j}"
+        texts.append(" ".join(copy))
+    pairs, _ = candidates(spark, docs, monkeypatch, texts)
+    assert pairs <= 8 * n
+    assert [x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs(texts), "").collect()] == brute(texts) == [1]

@@ -3,18 +3,20 @@
 A text is its set of hashed shingles of five words; two texts are near copies from a
 similarity of 4/5. Two such sets of n and m shingles share ceil(4 (n + m) / 9) of them at least, so
 one of the first n + 1 less that many of the one is among the first m + 1 less that many of the other, whatever
-the order of shingles, as long as all sets have the same (prefix filter). Nothing is lost:
+the order of shingles, as long as all sets have the same (prefix filter). With two places more they share three of
+these (``MEET``), and what shares fewer is no pair. Nothing is lost:
 
 * The order is by how many of a sample of the documents have a shingle, in ``HOT`` steps, then by hash. Common
   lines are thus in a prefix only where a text is little else. The sample changes the work,
   never the result. Tasks get it as tables of bits of a fixed size.
-* The entry of a shingle at place p of a set of n serves sets of up to (5 n - 9 p) / 4 shingles alone. Of a posting
+* The entry of a shingle at place p of a set of n serves sets of up to (5 n - 9 (p - 2)) / 4 shingles alone. Of a posting
   only entries stay that serve another and are served. A template that many texts share, each with too much
   of its own for 4/5, stands behind what is their own in each, where its entries serve none: such texts meet nowhere.
 * Equal sets are one, whatever their number.
-* Each set is first verified against at most ``HEADS`` others: each posting offers so many, chosen
-  by as many hashes, and of each kind that with which the set shares most is taken. What these
-  links connect needs no further pair; in postings that still hold members of different components
+* Each set is first verified against ``FIRST`` of all offered with which it shares most, and ``FIRST`` most central ones: each posting
+  offers the ``HEADS`` most central of its sets, of whose shingles the most are in postings. In a group of
+  copies with changes of their own these are the least changed, which are near copies of more of the group than copies
+  taken by chance. What these links connect needs no further pair; in postings that still hold members of different components
   the entries meet those of the sizes they serve. A group of near copies costs a star. Texts that share what is
   in many, are made of little else and are no near copies cost their pairs.
 * Candidates pass an upper bound on what they share, by bit maps of 2 to 4 bits for each
@@ -33,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -46,8 +49,11 @@ SAMPLE, HOT = 0.1, (8, 64, 512)
 _BLOCK, _TABLE = 1 << 16, 26
 #: Prefix entries that a task packs at once.
 _PACK = 1 << 19
-#: Sets against which each set is verified before any pairs of a posting are made.
-HEADS = 16
+#: Postings in which two near copies meet at least, if their sets differ: such sets share four shingles or more.
+MEET = 3
+#: Sets that each posting offers. Of those offered each set is verified against so many that share most with it, and so many most
+#: central ones, before any pairs of a posting are made.
+HEADS, FIRST = 8, 3
 #: Ratio of the sizes that are one step of a posting's scale of sizes.
 SIZE_STEP = 1.04
 #: Bytes from which a word is hashed by itself.
@@ -133,11 +139,11 @@ class Bits:
 
 def _longest(n):
     """How many shingles of a set of n are in its longest prefix."""
-    return n - (4 * n + 4) // 5 + 1
+    return np.minimum(n, n - (4 * n + 4) // 5 + MEET)
 
 
 def _prefix(s: np.ndarray, hot: list[Bits]) -> np.ndarray:
-    """The shingles of which two near copies share one: the first in the common order."""
+    """The shingles of which two near copies share ``MEET``: the first in the common order."""
     heat = np.zeros(len(s), np.int8)
     for bits in hot:
         heat += bits.has(s)
@@ -277,7 +283,7 @@ def _postings(docs: DataFrame) -> DataFrame:
             id_ = ids[owner]
             fresh = np.append(True, (keys[1:] != keys[:-1]) | (id_[1:] != id_[:-1])) if len(keys) else np.zeros(0, bool)
             keys, places, id_, n = keys[fresh], places[fresh], id_[fresh], ns[owner[fresh]].astype(np.int64)
-            most = (5 * n - 9 * (places * _longest(n) // 256)) // 4
+            most = (5 * n - 9 * (places * _longest(n) // 256 - MEET + 1)) // 4
             for _ in range(3):
                 at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
                 if not len(at):
@@ -334,15 +340,17 @@ def set_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     met = _postings(docs)
     maps = marked.filter("n > 0").select(F.col("set_id").alias("id"), "bits")
     maps = common.stored(maps.groupBy("id").agg(F.first("bits").alias("bits")), "maps", compression="zstd")
-    heads = met.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(j)), "id", "n", "most")).alias(f"head{j}") for j in range(HEADS)])
-    offers = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"head{j}.id").alias("head"), F.col(f"head{j}.n").alias("size"), F.col(f"head{j}.most").alias("serves")) for j in range(HEADS)])
-    fresh = lambda o, j: ~F.array_contains(F.transform(F.slice("offers", F.lit(1), j), lambda x: x["head"]), o["head"])
-    heads = heads.select("key", offers.alias("offers")).select("key", F.filter("offers", fresh).alias("offers"))
+    # The fewer shingles a set has to itself, the more others are near it.
+    central = met.join(met.groupBy("id").agg(F.count("*").alias("met")), "id").withColumn("met", F.col("met") / F.col("n"))
+    place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("met"), F.xxhash64("id")))
+    offer = F.struct(F.col("id").alias("head"), F.col("n").alias("size"), F.col("most").alias("serves"), "met")
+    heads = central.withColumn("place", place).filter(F.col("place") <= HEADS).groupBy("key").agg(F.collect_list(offer).alias("offers"))
     serves = F.filter("offers", lambda o: (o["head"] != F.col("id")) & (o["size"] <= F.col("most")) & (F.col("n") <= o["serves"]))
     star = met.join(heads, "key").select("id", "n", F.explode(serves).alias("o")).select("id", "n", "o.*")
     # A few pairs for each set at first, those with most in common; whatever they leave open is among the rest.
-    shared = star.groupBy("id", "n", "j", "head", "size").agg(F.count("*").alias("keys"))
-    best = shared.groupBy("id", "n", "j").agg(F.max(F.struct("keys", "head", "size")).alias("x")).select("id", "n", "x.head", "x.size")
+    shared = star.groupBy("id", "n", "head", "size", "met").agg(F.count("*").alias("keys")).filter(F.col("keys") >= MEET)
+    by = lambda *order: F.row_number().over(W.partitionBy("id").orderBy(*order, F.xxhash64("head")))
+    best = shared.withColumn("alike", by(F.desc("keys"))).withColumn("middle", by(F.desc("met"))).filter(F.least("alike", "middle") <= FIRST)
     low = F.col("id") < F.col("head")
     best = best.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"), F.when(low, F.col("n")).otherwise(F.col("size")).alias("n"), F.when(low, F.col("size")).otherwise(F.col("n")).alias("m"))
     first = _verified(best, docs, maps)
@@ -356,7 +364,8 @@ def set_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     leads = left.filter("most >= n").select("key", F.col("id").alias("a"), "n", "most", "root", F.explode(F.sequence(scale("n") - 1, scale("most") + 1)).alias("step"))
     other = left.select("key", scale("n").alias("step"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("most").alias("serves"), F.col("root").alias("root_b"))
     serves = F.col("m").between(F.col("n"), F.col("most")) & (F.col("n") <= F.col("serves")) & (F.col("root") != F.col("root_b")) & ((F.col("n") < F.col("m")) | (F.col("a") < F.col("b")))
-    rest = leads.join(other, ["key", "step"]).filter(serves).select("a", "b", "n", "m")
+    # A posting that two components share is open, so none in which a pair meets is missing here.
+    rest = leads.join(other, ["key", "step"]).filter(serves).groupBy("a", "b", "n", "m").agg(F.count("*").alias("keys")).filter(F.col("keys") >= MEET)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("a") < F.col("b"), F.col("m")).otherwise(F.col("n")).alias("m"))
     near = common.stored(first.unionByName(_verified(rest, docs, maps)), "near")
     common.discard(met, maps, placed, left)
