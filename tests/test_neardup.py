@@ -1,5 +1,6 @@
 """Near-duplicate texts against brute force: all pairs by the ratio, at borders of blocks and lengths."""
 
+import os
 import random
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
@@ -137,3 +138,20 @@ def test_classes_over_the_corpus(spark):
     assert len(want) > 300 and linked >= 0.99 * len(want)
     assert all(find(a) == find(b) for a, b in got.items())
     assert {(min(x["a"], x["b"]), max(x["a"], x["b"])) for x in links.collect()} <= want
+
+
+def test_lsh_keeps_no_whole_sets(spark, monkeypatch):
+    """Texts that are like no other leave a signature each; what is stored is less than the texts."""
+    r = random.Random(4)
+    rows = [(k, " ".join(f"{r.randrange(10**6)}" for _ in range(600))) for k in range(400)]
+    written, keep = [], neardup.stored
+
+    def counting(df, name, *rest):
+        out = keep(df, name, *rest)
+        written.extend(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(neardup, "stored", counting)
+    members, links = neardup.near_duplicate_lsh(spark.createDataFrame(rows, "id long, text string"))
+    assert members.filter("id = class_id").count() == 400 and links.isEmpty()
+    assert sum(written) < sum(len(t) for _, t in rows) / 2
