@@ -155,3 +155,24 @@ def test_lsh_keeps_no_whole_sets(spark, monkeypatch):
     members, links = neardup.near_duplicate_lsh(spark.createDataFrame(rows, "id long, text string"))
     assert members.filter("id = class_id").count() == 400 and links.isEmpty()
     assert sum(written) < sum(len(t) for _, t in rows) / 2
+
+
+def test_copies_by_turns_meet_in_both_orders(spark):
+    """The ratio is 0.83 in one order and 0.875 in the other: a copy of the earlier text after the later one links them."""
+    a, b = "now here old here water", "now here old market water"
+    assert SequenceMatcher(None, a, b).ratio() < 0.85 <= SequenceMatcher(None, b, a).ratio()
+    rows = [("once", "a1", T0, a), ("once", "b1", T0 + timedelta(minutes=1), b)]
+    rows += [("turns", "a2", T0, a), ("turns", "b2", T0 + timedelta(minutes=1), b), ("turns", "a3", T0 + timedelta(minutes=2), a.upper())]
+    got = {(r["cluster_id"], r["first_id"], r["n"], tuple(r["report_ids"])) for r in neardup.group_duplicate_texts(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {("once", "a1", 1, ("a1",)), ("once", "b1", 1, ("b1",)), ("turns", "a2", 3, ("a2", "a3", "b2"))}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_the_query_gives_every_group_whole(spark):
+    """Each member of each cluster is in just one group, those that are like no other too."""
+    from tidewatch.plans import fixtures, queries
+
+    members = sorted((r["cluster_id"], r["id"]) for r in fixtures.members(spark, "/root/testdata/sf0.001").select("cluster_id", "id").collect())
+    got = queries.QUERIES["group_duplicate_texts"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r["cluster_id"], i) for r in got for i in r["report_ids"]) == members
+    assert all(r["n"] == len(r["report_ids"]) and r["first_id"] in r["report_ids"] for r in got) and any(r["n"] == 1 for r in got)
