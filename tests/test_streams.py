@@ -130,3 +130,87 @@ def test_waiting_reports_are_read_once():
         out += [i for frame in taken.handleExpiredTimer("FLOOD", mark, due[0]) for i in frame["id"]]
     assert len(out) == 50 == len(set(out)) and handle.lists["pending"].read == 100
     assert handle.timers == {150_001} and len(handle.lists["pending"]) == 50
+
+
+class _Map(dict):
+    """A map state that knows the largest value it held."""
+
+    largest = 0
+
+    def getValue(self, key):  # noqa: N802
+        return self.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self[key], self.largest = value, max(self.largest, len(value[0]))
+
+    def removeKey(self, key):  # noqa: N802
+        del self[key]
+
+
+def _led(processor, handle, batches, mark_after):
+    """Each micro-batch, in pieces of 50 rows, under the watermark that the one before it left; ids in the order given."""
+    from types import SimpleNamespace
+
+    out, mark = [], 0
+    processor.init(handle)
+    for frame, after in zip(batches, mark_after):
+        at = SimpleNamespace(getCurrentWatermarkInMs=lambda m=mark: m * 1000)
+        pieces = (frame.iloc[k : k + 50] for k in range(0, len(frame), 50))
+        out += [r for f in processor.handleInputRows("FLOOD", pieces, at) for r in f.itertuples(index=False, name=None)]
+        mark, at = after, SimpleNamespace(getCurrentWatermarkInMs=lambda m=after: m * 1000)
+        while due := sorted(t for t in handle.timers if t <= mark * 1000):
+            handle.timers.discard(due[0])
+            out += [r for f in processor.handleExpiredTimer("FLOOD", at, due[0]) for r in f.itertuples(index=False, name=None)]
+    return [r[:5] if not r[5] else (r[0], "late") for r in out]
+
+
+def test_waiting_reports_are_sorted_runs(monkeypatch):
+    """Runs in state, merged a piece at a time, give what one list of all waiting reports gives; no value holds more than a piece."""
+    import random
+
+    import pandas as pd
+
+    from tidewatch.streaming import incidents
+
+    r, k, batches, marks = random.Random(6), 0, [], []
+    for batch in range(6):
+        rows = [(f"r{k + j:05d}", batch * 5000.0 + r.choice([-3000, 0, 0]) + r.randrange(5000), 20 + r.randrange(40) / 200, 77 + r.randrange(40) / 200, 5.0) for j in range(700)]
+        k += len(rows)
+        batches.append(pd.DataFrame(rows, columns=["id", "at", "lat", "lon", "radius_m"]))
+        marks.append(batch * 5000 + 3500)
+    batches.append(batches[0].iloc[:0])
+    marks.append(10**6)
+    want = _led(incidents.LeaderClusters(), _Handle(), batches, marks)
+    monkeypatch.setattr(incidents, "RUN_ROWS", 120)
+    monkeypatch.setattr(incidents, "PIECE_ROWS", 16)
+    monkeypatch.setattr(incidents, "OUT_ROWS", 30)
+    handle, pieces = _Handle(), _Map()
+    handle.getMapState = lambda *_: pieces
+    got = _led(incidents.SortedLeaderClusters(), handle, batches, marks)
+    assert sorted(got) == sorted(want) and [x for x in got if x[1] != "late"] == [x for x in want if x[1] != "late"]
+    assert len(got) == k and any(x[1] == "late" for x in got) and not pieces and not handle.lists["runs"]
+    assert 0 < pieces.largest < 3000
+
+
+def test_open_clusters_by_latitude():
+    """Against a pass over all clusters: the nearest within reach, the earlier one on ties, also as centres move between bands."""
+    import random
+
+    from tidewatch import constants as C
+    from tidewatch.operators import clustering
+
+    r, at, mine, plain = random.Random(8), 0.0, clustering.Leaders(), []
+    for k in range(6000):
+        at += r.choice([0, 1, 30, 300])
+        lat, lon = r.choice([-0.02, 0.0, 0.04, 20.0, 89.98, -89.99]) + r.randrange(-30, 30) / 1000, r.choice([77.0, 179.99, -179.99]) + r.randrange(-9, 9) / 1000
+        lat = max(-90.0, min(90.0, lat))
+        best, least = None, float("inf")
+        for x in plain:
+            if at - x.latest <= C.CLUSTER_WINDOW_S and (d := clustering._distance(lat, lon, x.lat, x.lon)) <= C.CLUSTER_DISTANCE_M and d < least:
+                best, least = x, d
+        if best is None:
+            plain.append(best := clustering.Leader(lon))
+        best.add(at, f"r{k}", lat, lon, 5.0)
+        got = mine.assign(at, f"r{k}", lat, lon, 5.0)
+        assert (got.first_id, got.n, got.lat, got.lon) == (best.first_id, best.n, best.lat, best.lon)
+    assert len(plain) > 100 and len(mine.open()) < len(plain)
