@@ -136,3 +136,26 @@ def test_a_busy_place_gives_few_groups(spark):
     pins += [(f"q{k}", "fire", START + r.randrange(10_800_000_000), 30.0 + r.uniform(0, 4000) / 111_000, 40.0 + r.uniform(0, 4000) / 111_000, 10.0) for k in range(400)]
     check(spark, pins, [("fire", START + r.randrange(10_800_000_000)) for _ in range(25)])
     assert nearby.tight_groups(spark.createDataFrame(pins, PIN)).count() < 6 * len(pins)
+
+
+def test_candidates_against_all_pairs(spark, monkeypatch):
+    """Borders of the window to the microsecond, lists cut short, and pairs made in many tasks however few their bytes are."""
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators import geolocation
+
+    monkeypatch.setattr(geolocation, "LIST", 7)
+    r = random.Random(12)
+    times = [START + k for k in (0, 1, nearby.WINDOW - 1, nearby.WINDOW, nearby.WINDOW + 1, 2 * nearby.WINDOW, 300_000_000, 299_999_999, -1)] + [START + r.randrange(6 * nearby.WINDOW) for _ in range(60)]
+    rows = [(f"r{k:04d}", r.choice(["FLOOD", "FIRE", None]), r.choice([*times, None]), r.choice(["gps", "landmark_geocode", "unresolved", "unresolved"]), r.random() < 0.9) for k in range(900)]
+    rows += [(f"dense{k:03d}", "OTHER", START + r.randrange(1000), "unresolved" if k % 2 else "gps", True) for k in range(120)]
+    table = spark.createDataFrame(rows, "id string, type string, us long, method string, relevant boolean")
+    direct = table.select("id", "method", F.timestamp_micros("us").alias("ts"), F.struct("relevant", F.col("type").alias("disaster_type")).alias("facts"), F.lit(20.0).alias("lat"), F.xxhash64("id").cast("double").alias("lon"), F.lit(15.0).alias("radius_m"))
+    made = geolocation.nearby_candidates(direct).withColumn("task", F.spark_partition_id()).collect()
+    pins = [x for x in rows if x[3] != "unresolved" and x[1] and x[2] is not None]
+    want = [(t[0], p[0]) for t in rows if t[3] == "unresolved" and t[4] and t[1] and t[2] is not None for p in pins if p[1] == t[1] and abs(p[2] - t[2]) <= nearby.WINDOW]
+    got = sorted((x["target"], x["id"]) for x in made)
+    assert got == sorted(want) and len(want) > 10_000
+    lon = {x["id"]: x["lon"] for x in direct.select("id", "lon").collect()}
+    assert all(lon[x["id"]] == x["lon"] for x in made)
+    assert len({x["task"] for x in made}) > 3
