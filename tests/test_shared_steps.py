@@ -43,3 +43,31 @@ def test_copies_count_and_empty_texts_stay_apart(spark):
     assert got == {("c1", "a", 3, gate, ("a", "b", "c")), ("c1", "h", 2, none, ("h", "i")), ("c2", "z", 1, none, ("z",)), *{("c1", i, 1, "", (i,)) for i in "defg"}}
     flags = {r["cluster_id"]: (r["has_contradiction"], r["rumour_count"]) for r in evidence.denial_flags(table).collect()}
     assert flags == {"c1": (True, 2), "c2": (False, 1)}
+
+
+def test_the_second_run_extracts_nothing(spark, monkeypatch):
+    """The whole batch reads each distinct text once, and a run over its result none."""
+    read, plain = [], extraction.extract_facts
+
+    def seen(texts):
+        read.append(sorted(r["raw_text"] for r in texts.select("raw_text").collect()))
+        return plain(texts)
+
+    monkeypatch.setattr(extraction, "extract_facts", seen)
+    assert QUERIES["run_pipeline"](spark, DATA).count() > 100
+    assert [t for texts in read for t in texts] == sorted(r["raw_text"] for r in X.reports(spark, DATA).select("raw_text").distinct().collect())
+
+
+def test_many_components_are_matched_in_few_passes(spark):
+    """Thousands of clusters that meet no other's incidents, and one chain of choices: no Python call for each."""
+    import time
+
+    from tidewatch.operators import incidents
+
+    rows = [(f"c{k}", f"i{k}", 1) for k in range(20_000)] + [("x1", "p", 5), ("x1", "q", 5), ("x2", "p", 9), ("x2", "r", 1), ("x3", "r", 3), ("x3", "q", 2)]
+    clusters = spark.createDataFrame([(c, k) for k, c in enumerate(dict.fromkeys(r[0] for r in rows))], "cluster_id string, place long")
+    matched = incidents.incident_match(spark.createDataFrame(rows, "cluster_id string, incident_id string, shared long"), clusters)
+    began = time.perf_counter()
+    got = {(r["cluster_id"], r["incident_id"]) for r in matched.collect()}
+    assert got == {(f"c{k}", f"i{k}") for k in range(20_000)} | {("x1", "p"), ("x2", "r"), ("x3", "q")}
+    assert time.perf_counter() - began < 15

@@ -65,13 +65,14 @@ def run_pipeline(
 ) -> Tables:
     """``reports``: id, source_user, raw_text, media_url, phash, ts, gps_lat, gps_lon and maybe facts.
 
-    ``extractor`` adds facts in the place of the rules (as ``extraction.extract_facts`` does). The
+    Facts that reports have are kept, so a run over an earlier one's ``reports`` extracts nothing anew.
+    ``extractor`` adds facts in the place of the rules (as ``extraction.extract_by_text`` does). The
     other tables are what services have answered: ``results`` of a geocoder
     (``geocode_hits_filter``), ``analyses`` of images (``image_analysis_join``), ``hits`` of a feed
     (``external_verification``). Without one, incidents say that there was no such answer.
     """
     check_ids(reports)
-    extract = extractor or extraction.extract_facts
+    extract = extractor or extraction.extract_by_text
     facts = extraction.extract_missing(reports, extract).drop("extracted_now") if "facts" in reports.columns else extract(reports)
     facts = stored(facts, "facts")
     direct = stored(geolocation.resolve_direct(extraction.relevant_reports(facts), cache, results), "direct")
