@@ -159,3 +159,14 @@ def test_candidates_against_all_pairs(spark, monkeypatch):
     lon = {x["id"]: x["lon"] for x in direct.select("id", "lon").collect()}
     assert all(lon[x["id"]] == x["lon"] for x in made)
     assert len({x["task"] for x in made}) > 3
+
+
+def test_reports_are_not_shuffled_for_a_few_landmarks(spark):
+    """Most reports have GPS or share a landmark: dealt by landmark, one task would get them."""
+    from tidewatch.operators import extraction, geolocation
+
+    rows = [(f"r{k}", "Water rising near Mayur Vihar, need boat" if k % 2 else "Fire and smoke near the market", 20.0 if k % 3 else None, 77.0) for k in range(300)]
+    table = extraction.extract_facts(spark.createDataFrame(rows, "id string, raw_text string, gps_lat double, gps_lon double"))
+    direct = geolocation.resolve_direct(table)
+    assert "hashpartitioning" not in direct._jdf.queryExecution().executedPlan().toString()
+    assert {r["method"]: r["count"] for r in direct.groupBy("method").count().collect()} == {"gps": 200, "landmark_geocode": 50, "unresolved": 50}
